@@ -8,6 +8,13 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def oracles() -> None:
+    from quillforge.llm import quality_rules, source_mix
+
+    ORACLES["op1_quality_rules"] = quality_rules.oracle()
+    ORACLES["op2_source_mix"] = source_mix.oracle()
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -17,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillforge.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillforge.llm.source_mix import source_mix
+
+    return source_mix(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -24,3 +45,6 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillforge.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+oracles()
