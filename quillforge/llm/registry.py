@@ -9,10 +9,11 @@ ORACLES: dict[str, str] = {}
 
 
 def oracles() -> None:
-    from quillforge.llm import quality_rules, source_mix
+    from quillforge.llm import line_dedup, quality_rules, source_mix
 
     ORACLES["op1_quality_rules"] = quality_rules.oracle()
     ORACLES["op2_source_mix"] = source_mix.oracle()
+    ORACLES["op7_line_dedup"] = line_dedup.oracle()
 
 
 def query(f):
@@ -47,4 +48,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillforge.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 oracles()
