@@ -9,10 +9,11 @@ ORACLES: dict[str, str] = {}
 
 
 def oracles() -> None:
-    from quillforge.llm import line_dedup, quality_rules, source_mix
+    from quillforge.llm import license_scan, line_dedup, quality_rules, source_mix
 
     ORACLES["op1_quality_rules"] = quality_rules.oracle()
     ORACLES["op2_source_mix"] = source_mix.oracle()
+    ORACLES["op10_license_scan"] = license_scan.oracle()
     ORACLES["op7_line_dedup"] = line_dedup.oracle()
 
 
@@ -55,4 +56,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillforge.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 oracles()
