@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, field, fresh
+from quillforge.llm._common import checkpointed, field
 
 STRIP = b" \t\n\x0b\x0c\r"
 HOT = 4_096  # rows of a key from which it is settled by counts
@@ -30,7 +30,7 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            digests, rows, at, size = [], [], [], 0
+            digests, rows, at = [], [], []
             texts = batch.column(2)
 
             def flush():

@@ -9,11 +9,12 @@ ORACLES: dict[str, str] = {}
 
 
 def oracles() -> None:
-    from quillforge.llm import license_scan, line_dedup, quality_rules, source_mix
+    from quillforge.llm import jaccard_join, license_scan, line_dedup, quality_rules, source_mix
 
     ORACLES["op1_quality_rules"] = quality_rules.oracle()
     ORACLES["op2_source_mix"] = source_mix.oracle()
     ORACLES["op10_license_scan"] = license_scan.oracle()
+    ORACLES["op9_jaccard_join"] = jaccard_join.oracle()
     ORACLES["op7_line_dedup"] = line_dedup.oracle()
 
 
@@ -63,4 +64,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillforge.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 oracles()
