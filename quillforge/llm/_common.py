@@ -7,7 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,20 @@ def field(df: DataFrame, col: str, name: str | None = None) -> T.StructField:
     return T.StructField(name or col, df.schema[col].dataType, True)
 
 
-def shuffles(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Ids up to so many are broadcast; a long and its hash entry each, some 4 MB.
+FEW = 200_000
+
+
+def few(df: DataFrame, most: int = FEW) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def without(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """The rows of ``docs`` whose ``id`` is not in the one column of ``ids``; nulls equal nulls."""
+    name = fresh(*docs.columns, stem="gone")
+    ids = checkpointed(ids.toDF(name).distinct())
+    ids = F.broadcast(ids) if few(ids) else ids.hint("shuffle_hash")
+    return docs.join(ids, F.col(f"`{id}`").eqNullSafe(F.col(name)), "left_anti")
 
 
 def raw_utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, rows_of
+from quillforge.llm._common import checkpointed, rows_of, without
 from quillforge.llm._components import components
 from quillforge.llm._shingles import SLICE, mix, shingle_sets
 
@@ -338,8 +338,7 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k:
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are alone in their component or its least id; rows without an id stay."""
     label = jaccard_join(docs, id=id, text=text, k=k, percent=percent)
-    gone = label.where(F.col("component_id") < F.col(id)).select(F.col(id).alias("gone")).distinct()
-    return docs.join(gone, F.col(id) == F.col("gone"), "left_anti")
+    return without(docs, label.where(F.col("component_id") < F.col(id)).select(id), id)
 
 
 def oracle() -> str:
