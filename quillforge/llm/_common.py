@@ -20,14 +20,20 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder of ``spark.checkpoint.dir``, which all executors share.
+def shared_folder(spark) -> str:
+    """The folder for checkpoints and for what stages pass on: spark.checkpoint.dir, which all executors share.
 
     A folder of our own is used only where the session names none (tests, local mode).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
