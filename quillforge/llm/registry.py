@@ -9,11 +9,12 @@ ORACLES: dict[str, str] = {}
 
 
 def oracles() -> None:
-    from quillforge.llm import jaccard_join, license_scan, line_dedup, quality_rules, source_mix
+    from quillforge.llm import chat_format, jaccard_join, license_scan, line_dedup, quality_rules, source_mix
 
     ORACLES["op1_quality_rules"] = quality_rules.oracle()
     ORACLES["op2_source_mix"] = source_mix.oracle()
     ORACLES["op10_license_scan"] = license_scan.oracle()
+    ORACLES["op6_chat_format"] = chat_format.oracle()
     ORACLES["op9_jaccard_join"] = jaccard_join.oracle()
     ORACLES["op7_line_dedup"] = line_dedup.oracle()
 
@@ -85,4 +86,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillforge.llm.chat_format import chat_format, digests
+
+    return digests(chat_format(table(spark, sf_dir, "conversations")))
+
+
 oracles()
