@@ -367,5 +367,5 @@ def cohesion(spark, sf_dir):
 @query(sql.CLUSTER_PRETTY)
 def cluster_pretty(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    first = e.select(F.col("label").alias("cluster"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("item"), F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("score"))
+    first = e.select(F.col("label").alias("cluster"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("item"), (F.round(F.get("embedding", F.lit(0)).cast("double"), 3) + 0.0).alias("score"))
     return report.pretty_clusters(first)

@@ -197,7 +197,7 @@ SELECT query, key, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PART
 
 
 CLUSTER_PRETTY = """
-WITH e AS (SELECT label, 'v' || vec_id AS item, round(embedding[1]::DOUBLE, 3) AS score FROM embeddings),
+WITH e AS (SELECT label, 'v' || vec_id AS item, round(embedding[1]::DOUBLE, 3) + 0.0::DOUBLE AS score FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, item) AS rank, dense_rank() OVER (ORDER BY label) - 1 AS c FROM e),
 f AS (SELECT max(rank) AS n FROM r WHERE c = 0)
 SELECT c // 5 AS block, CAST(rank AS INTEGER) AS rank, string_agg(printf('%25s %.6f', item, score), ' ' ORDER BY c) AS line FROM r, f WHERE rank <= n GROUP BY 1, 2"""
