@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.functions.columns import let
+
 EOL = "#eol"
 
 
@@ -40,7 +42,7 @@ def normalized(v, norm: str | None):
         by = F.array_max(w)
     else:
         raise ValueError(f"no such normalization: {norm}")
-    return F.when(by != 0, F.transform(v, lambda e: F.struct(e["id"].alias("id"), (e["w"] / by).alias("w")))).otherwise(v)
+    return let(by, lambda n: F.when(n != 0, F.transform(v, lambda e: F.struct(e["id"].alias("id"), (e["w"] / n).alias("w")))).otherwise(v))
 
 
 def idf_entries(token_lines: DataFrame, df_table: DataFrame, *, row: str = "line_id", toks: str = "toks", eol: str = EOL) -> DataFrame:
@@ -54,7 +56,11 @@ def idf_entries(token_lines: DataFrame, df_table: DataFrame, *, row: str = "line
 def idf_vectors(token_lines: DataFrame, df_table: DataFrame, *, row: str = "line_id", toks: str = "toks", eol: str = EOL, norm: str | None = None) -> DataFrame:
     """row, v: sparse vectors by ascending id; lines without known terms have an empty one."""
     entries = idf_entries(token_lines, df_table, row=row, toks=toks, eol=eol)
-    v = entries.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"))
+    norms = {None: F.max(F.lit(1.0)), "none": F.max(F.lit(1.0)), "l1": F.sum("w"), "l2": F.sqrt(F.sum(F.col("w") * F.col("w"))), "inf": F.max("w")}
+    if norm not in norms:
+        raise ValueError(f"no such normalization: {norm}")
+    v = entries.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"), norms[norm].alias("one"))
     out = token_lines.select(row).join(v, row, "left")
     empty = F.array().cast("array<struct<id:bigint,w:double>>")
-    return out.select(row, normalized(F.coalesce("v", empty), norm).alias("v"))
+    scaled = F.transform("v", lambda e: F.struct(e["id"].alias("id"), F.when(F.col("one") != 0, e["w"] / F.col("one")).otherwise(e["w"]).alias("w")))
+    return out.select(row, F.coalesce(scaled, empty).alias("v"))

@@ -128,6 +128,7 @@ def candidates(lines: DataFrame, o: Options, sizes: DataFrame | None = None, mer
     types = uni.count()
     if o.method == "descent":  # ends of lines count, and one before the first
         n += lines.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] + 1
+    n = n or 1  # of an empty corpus; there are no pairs then
     first_n = o.first_n or n
     pairs = bigram_counts(lines)
     pairs = pairs.join(uni.select(F.col("tok").alias("x"), F.col("f").alias("fx0")), "x").join(uni.select(F.col("tok").alias("y"), F.col("f").alias("fy0")), "y")

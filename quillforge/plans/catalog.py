@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
+from quillforge.functions.columns import let
 from quillforge.functions.porter import stem_word
 from quillforge.operators import cluster, docfreq, evaluate, merge, rank, report, retrieve, segment, topics
 from quillforge.operators.segment import Options
@@ -303,7 +304,7 @@ def _kl(invert: bool):
     def run(spark, sf_dir):
         e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("v"))
         total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-        p = e.select("key", F.transform("v", lambda x: x / total).alias("v"))
+        p = e.select("key", let(total, lambda t: F.transform("v", lambda x: x / t)).alias("v"))
         r = rank.rank_by_divergence(p, p.where(F.col("key") % 100 == 0), invert_role=invert)
         return r.select("query", "key", F.round("dist", 6).alias("dist"))
 
