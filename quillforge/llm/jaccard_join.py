@@ -34,6 +34,7 @@ CELLS = 1 << 22  # counters of shingle frequencies; the broadcast table has a by
 TARGET = 600_000  # block values that one task joins, about
 LONE = 64  # bands of sets up to this size give each shingle a block of its own
 HELD = 1 << 16  # cells of the id filter, times 64
+GROUP = 1_000  # members of a block
 
 
 class Bands:
@@ -195,7 +196,7 @@ def _near(sketches, sizes, bands: Bands, a: np.ndarray, b: np.ndarray) -> np.nda
 
 
 def _candidates(bands: Bands):
-    """Of one part: pairs (a, b) with a centre or left to compare, and per centre its near members (members not null)."""
+    """Pairs (a, b) of one part that may be similar: near members of a bucket with its least id, the centre, and what is not near the centre with all."""
 
     def run(table: pa.Table) -> pa.Table:
         family = table.column("part")[0].as_py() >> 32
@@ -213,7 +214,7 @@ def _candidates(bands: Bands):
         first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, int)
         size = np.diff(np.r_[first, len(sigs)])
         buckets = {row[f : f + n].tobytes() for f, n in zip(first[size > 1], size[size > 1], strict=True)}
-        pairs, groups = set(), set()
+        pairs = set()
         for bucket in buckets:
             m = np.unique(np.frombuffer(bucket, row.dtype))
             if len(m) < 2:
@@ -221,28 +222,19 @@ def _candidates(bands: Bands):
             near = _near(sketches, sizes, bands, np.full(len(m) - 1, m[0]), m[1:])
             star, rest = m[1:][near], m[1:][~near]
             pairs.update((int(m[0]), int(x)) for x in star)
-            if len(star) > 1:
-                groups.add(np.r_[m[:1], star].tobytes())
             for i, x in enumerate(rest):  # the centre says nothing about these
                 other = np.r_[star, rest[i + 1 :]]
                 hits = other[_near(sketches, sizes, bands, np.full(len(other), x), other)]
                 pairs.update((min(int(x), int(y)), max(int(x), int(y))) for y in hits)
         p = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        a, b = ids[p[:, 0]], ids[p[:, 1]]
-        lists = [ids[np.frombuffer(g, row.dtype)] for g in sorted(groups)]
-        return pa.table({
-            "a": pa.array(np.r_[a, np.array([x[0] for x in lists], np.int64)]),
-            "b": pa.array([*b.tolist(), *[None] * len(lists)], pa.int64()),
-            "members": pa.array([*[None] * len(a), *[x.tolist() for x in lists]], pa.list_(pa.int64())),
-        })
+        return pa.table({"a": ids[p[:, 0]], "b": ids[p[:, 1]]})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Sets are made again, of documents in pairs alone, as far as a fixed filter tells."""
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id, set of the documents in ``ids`` (column id), and of others that a table of fixed size takes for them. Sets are made again rather than kept."""
     cells = HELD * 64
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     used = np.zeros(cells, bool)
     used[ids.select(F.pmod("id", F.lit(cells)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
@@ -262,7 +254,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             for batch in rows_of(whole, SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
 
-    made = docs.mapInArrow(sets, "id long, set binary")
+    return docs.mapInArrow(sets, "id long, set binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    made = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
     both = pairs.join(made.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(made.withColumnsRenamed({"id": "b", "set": "y"}), "b")
 
     def check(batches):
@@ -279,16 +276,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _cross(batches):
-    """Pairs of members of different components, of one group a row."""
-    for batch in batches:
-        for group in batch.column(0).to_pylist():
-            comp = np.array([x["c"] for x in group], np.int64)
-            node = np.array([x["m"] for x in group], np.int64)
-            for i in range(len(node) - 1):
-                j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+def _across(percent: int):
+    """Links (a, b) between members of different components, of one block of a centre's group (x, c, set)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("x").to_numpy(), table.column("c").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        names, n = np.unique(comp, return_counts=True)
+        a, b = [], []
+        for i in np.flatnonzero(comp != names[n.argmax()]):  # every pair across has a member outside the largest
+            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            hits = np.concatenate([row[p:q] for p, q in zip(low, high, strict=True)]) if len(low) else np.zeros(0, int)
+            both = np.bincount(hits, minlength=len(sets))
+            j = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (comp != comp[i]))
+            a += [node[i]] * len(j)
+            b += node[j].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that the centres' comparisons leave open: between near members of one centre that are in different components so far.
+
+    Groups are dealt in pairs of blocks of some ``GROUP`` members, so no task holds more sets than two blocks.
+    """
+    known = components(edges)
+    members = pairs.select(F.col("a").alias("m"), F.col("b").alias("x")).unionByName(pairs.select(F.col("a").alias("m"), F.col("a").alias("x")).distinct())
+    labelled = members.join(known, F.col("x") == F.col("node"), "left").select("m", "x", F.coalesce("component", "x").alias("c"))
+    open_ = labelled.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("m", "n")
+    group = checkpointed(labelled.join(open_, "m"))
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    group = group.withColumn("own", F.pmod(F.xxhash64("x"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    group = group.select("m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "c")
+    sets = _sets_of(group.select(F.col("x").alias("id")), docs, k)
+    dealt = group.join(sets, F.col("x") == F.col("id")).select("m", "i", "j", "x", "c", "set")
+    return dealt.groupBy("m", "i", "j").applyInArrow(_across(percent), "a long, b long")
 
 
 def links(docs: DataFrame, base: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -297,25 +325,13 @@ def links(docs: DataFrame, base: DataFrame, k: int = 5, percent: int = 80) -> Da
     common, offered = _frequencies(docs, k, bands)
     parts = {f: -(-n // TARGET) for f, n in offered.items()}
     blobs = _blobs(docs, k, bands, common, parts)
-    found = checkpointed(blobs.groupBy("part").applyInArrow(_candidates(bands), "a long, b long, members array<long>"))
-    pairs = checkpointed(found.where("b is not null").select("a", "b").distinct())
-    sure = checkpointed(_verified(pairs, docs, k, percent))
+    pairs = checkpointed(blobs.groupBy("part").applyInArrow(_candidates(bands), "a long, b long").distinct())
+    sure = _verified(pairs, docs, k, percent)
     # copies: every document with the least of its set
     least = base.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
     copies = base.where("n > 0").join(least, ["k1", "k2"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    copies = checkpointed(copies)
-    edges = sure.unionByName(copies)
-    groups = found.where("members is not null").select("members").distinct()
-    groups = checkpointed(groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("m")))
-    known = components(edges)
-    labelled = groups.join(known, F.col("m") == F.col("node"), "left").select("g", "m", F.coalesce("component", "m").alias("c"))
-    open_ = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g")
-    left = labelled.join(open_, "g").groupBy("g").agg(F.collect_list(F.struct("m", "c")).alias("group")).select("group")
-    rest = left.mapInArrow(_cross, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = checkpointed(rest)
-    if rest.isEmpty():
-        return edges
-    return edges.unionByName(_verified(rest, docs, k, percent))
+    edges = checkpointed(sure.unionByName(copies))
+    return edges.unionByName(_rest(pairs, edges, docs, k, percent))
 
 
 def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
