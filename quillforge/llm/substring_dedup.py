@@ -126,7 +126,7 @@ def _blobs(parts: int):
             if not new.any():
                 continue
             c, first = c[new], first[new]
-            if len(seen) < 4_000_000:  # beyond, contents may go twice, which changes nothing
+            if len(seen) < 1_000_000:  # beyond, contents may go twice, which changes nothing
                 seen.update(c.tolist())
             sigs.append(band_values(h, starts[first]))
             contents.append(c)
@@ -174,7 +174,7 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             hit = _in_bits(bits, c)
             out = {int(x): h[s : s + m] for x, s in zip(c[hit].view(np.int64), starts[hit], strict=True) if int(x) not in seen}
             if out:
-                if len(seen) < 4_000_000:
+                if len(seen) < 1_000_000:
                     seen.update(out)
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.unique(s).tobytes() for s in out.values()], pa.binary())], names=["content", "set"])
 
