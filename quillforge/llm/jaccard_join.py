@@ -10,10 +10,12 @@ which bounds the distance within each band of sizes. Two uses of this:
   both documents chose and hold alike. Blocks whose shingles are rare come first in that order, so
   passages that many documents share do not bring those documents together. Counts that make the order
   are of all documents; they decide speed, never results.
-* A dense sketch travels with the block values and drops candidates whose distance is over the bound.
+* A dense sketch of each document drops candidates whose distance is over the bound.
 
 The rest is verified on the sets of shingle hashes. In a bucket of equal blocks everything is compared
-with one centre, and what the centre's links do not settle, by a second round across components.
+with one centre; what is not near the centre, with the centre's whole group by sketches; and what the
+links so far leave in different components, by a second round inside the group. No step makes all pairs
+of a group's rows: they are compared inside tasks, in blocks, and only what passes comes out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from quillforge.llm._shingles import SLICE, mix, shingle_sets
 CELLS = 1 << 22  # counters of shingle frequencies; the broadcast table has a byte for each
 TARGET = 600_000  # block values that one task joins, about
 LONE = 64  # bands of sets up to this size give each shingle a block of its own
-HELD = 1 << 16  # cells of the id filter, times 64
+HELD = 1 << 25  # bits of the id filter
+MOST_IDS = 4_000_000
 GROUP = 1_000  # members of a block
 
 
@@ -107,17 +110,19 @@ def _sets(batches, k: int):
             yield from zip(ids, shingle_sets(batch.column(1), k), strict=True)
 
 
-def _base(docs: DataFrame, k: int) -> DataFrame:
-    """id, n, k1, k2: size and 128-bit hash of each row's set."""
+def _base(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """id, n, k1, k2, f, own, low: size and 128-bit hash of each row's set, its band, and its dense sketches for that band's family and the one below."""
 
     def run(batches):
         for whole in batches:
             for batch in rows_of(whole, SLICE):
                 sets = shingle_sets(batch.column(1), k)
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["id", "n", "k1", "k2"])
+                f = [bands.of(len(s)) if len(s) else -1 for s in sets]
+                own, low = ([dense_sketch(s, bands.dense(g)).tobytes() if g >= 0 else None for s, g in zip(sets, [x - d for x in f], strict=True)] for d in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(f, pa.int32()), pa.array(own, pa.binary()), pa.array(low, pa.binary())], names=["id", "n", "k1", "k2", "f", "own", "low"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, f int, own binary, low binary")
 
 
 def _frequencies(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, dict[int, int]]:
@@ -147,17 +152,27 @@ def _frequencies(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, dic
 
 
 def _blobs(docs: DataFrame, k: int, bands: Bands, common, parts: dict[int, int]) -> DataFrame:
-    """part, ids, sizes, counts, sigs, sketches: packed block values for the task that joins them. A task sends equal sets once."""
+    """part, least, wide, ids, sigs: packed block values for the task that joins them; ids stand as differences from the least. A task sends equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    names = ["part", "ids", "sizes", "counts", "sigs", "sketches"]
+    names = ["part", "least", "wide", "ids", "sigs"]
 
     def run(batches):
-        table, seen, out, held = shared.value, set(), {}, 0
+        table, seen = shared.value, set()
+        out: dict[int, list] = {}
+        held = 0
 
         def flush():
-            for part, rows in out.items():
-                ids, sizes, sigs, sketches = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([np.array([len(x) for x in sigs], np.int32).tobytes()]), pa.array([np.concatenate(sigs).tobytes()]), pa.array([np.concatenate(sketches).tobytes()])], names=names)
+            for f, rows in out.items():
+                sigs = np.concatenate([x for _, x in rows])
+                ids = np.repeat(np.array([x for x, _ in rows], np.int64), [len(x) for _, x in rows])
+                to = (sigs >> np.uint64(32)) % np.uint64(parts[f])
+                order = np.argsort(to, kind="stable")
+                cuts = np.flatnonzero(np.diff(to[order])) + 1
+                for at in np.split(order, cuts):
+                    low = int(ids[at].min())
+                    wide = bool(ids[at].max() - low >= 1 << 32)
+                    offsets = (ids[at] - low).astype(np.int64 if wide else np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([f << 32 | int(to[at[0]])]), pa.array([low]), pa.array([wide]), pa.array([offsets.tobytes()]), pa.array([sigs[at].astype(np.uint32).tobytes()])], names=names)
 
         for id, s in _sets(batches, k):
             if id is None or not len(s):
@@ -168,75 +183,99 @@ def _blobs(docs: DataFrame, k: int, bands: Bands, common, parts: dict[int, int])
             seen.add(digest)
             for f, most in bands.families(len(s)):
                 sig = signatures(s, f, most, bands, table)
-                sketch = dense_sketch(s, bands.dense(f))
-                n = parts[f]
-                to = (sig >> np.uint64(32)) % np.uint64(n)
-                order = np.argsort(to, kind="stable")
-                cuts = np.flatnonzero(np.diff(to[order])) + 1
-                for at in np.split(order, cuts):
-                    out.setdefault(f << 32 | int(to[at[0]]), []).append((id, len(s), sig[at].astype(np.uint32), sketch))
-                    held += 4 * len(at) + 8 * len(sketch) + 200
-            if held > 96 << 20:
+                out.setdefault(f, []).append((id, sig))
+                held += 8 * len(sig) + 100
+            if held > 64 << 20:
                 yield from flush()
                 out, held = {}, 0
         yield from flush()
 
-    return docs.mapInArrow(run, "part long, ids binary, sizes binary, counts binary, sigs binary, sketches binary")
+    return docs.mapInArrow(run, "part long, least long, wide boolean, ids binary, sigs binary")
 
 
-def _near(sketches, sizes, bands: Bands, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs of rows can be similar by their sizes and sketches."""
-    out = np.zeros(len(a), bool)
-    step = max(1, (8 << 20) // max(1, sketches.shape[1] * 8))
-    for i in range(0, len(a), step):
-        x, y = a[i : i + step], b[i : i + step]
-        small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-        out[i : i + step] = (small * 100 >= large * bands.percent) & (np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1) <= bands.most(sizes[x], sizes[y]))
-    return out
+def _candidates(table: pa.Table) -> pa.Table:
+    """f, a, b: of each bucket of equal block values in one part, its least id, the centre, with every other."""
+    family = table.column("part")[0].as_py() >> 32
+    sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint32)
+    ids = np.concatenate([np.frombuffer(i, np.int64 if w else np.uint32).astype(np.int64) + low for i, w, low in zip(table.column("ids").to_pylist(), table.column("wide").to_pylist(), table.column("least").to_pylist(), strict=True)])
+    order = np.argsort(sigs, kind="stable")
+    sigs, ids = sigs[order], ids[order]
+    same = sigs[1:] == sigs[:-1]
+    inside = np.r_[same, False] | np.r_[False, same]  # of a bucket of two or more
+    sigs, ids = sigs[inside], ids[inside]
+    first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, int)
+    centre = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(sigs)])) if len(sigs) else ids
+    pairs = np.stack([centre, ids], axis=1)[centre != ids]
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
+    return pa.table({"f": pa.array(np.full(len(pairs), family, np.int32)), "a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _candidates(bands: Bands):
-    """Pairs (a, b) of one part that may be similar: near members of a bucket with its least id, the centre, and what is not near the centre with all."""
+def _near(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, bands: Bands) -> np.ndarray:
+    """Whether rows of sketches x and y, of sets of nx and ny elements, can be similar."""
+    small, large = np.minimum(nx, ny), np.maximum(nx, ny)
+    return (small * 100 >= large * bands.percent) & (np.bitwise_count(x ^ y).sum(axis=-1) <= bands.most(nx, ny))
 
-    def run(table: pa.Table) -> pa.Table:
-        family = table.column("part")[0].as_py() >> 32
-        width = bands.dense(family)
-        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        ids, sizes, counts, sigs = read("ids", np.int64), read("sizes", np.int64), read("counts", np.int32), read("sigs", np.uint32)
-        sketches = read("sketches", np.uint64).reshape(-1, width)
-        rank = np.argsort(ids, kind="stable")  # rows by id, so that a bucket's first is its least
-        ids, sizes, counts_, sketches = ids[rank], sizes[rank], counts[rank], sketches[rank]
-        begin = np.concatenate([[0], np.cumsum(counts)])[:-1][rank]
-        row = np.repeat(np.arange(len(ids)), counts_)
-        sigs = sigs[np.repeat(begin - np.concatenate([[0], np.cumsum(counts_)])[:-1], counts_) + np.arange(len(row))]
-        order = np.argsort(sigs, kind="stable")
-        row, sigs = row[order], sigs[order]
-        first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, int)
-        size = np.diff(np.r_[first, len(sigs)])
-        buckets = {row[f : f + n].tobytes() for f, n in zip(first[size > 1], size[size > 1], strict=True)}
-        pairs = set()
-        for bucket in buckets:
-            m = np.unique(np.frombuffer(bucket, row.dtype))
-            if len(m) < 2:
-                continue
-            near = _near(sketches, sizes, bands, np.full(len(m) - 1, m[0]), m[1:])
-            star, rest = m[1:][near], m[1:][~near]
-            pairs.update((int(m[0]), int(x)) for x in star)
-            for i, x in enumerate(rest):  # the centre says nothing about these
-                other = np.r_[star, rest[i + 1 :]]
-                hits = other[_near(sketches, sizes, bands, np.full(len(other), x), other)]
-                pairs.update((min(int(x), int(y)), max(int(x), int(y))) for y in hits)
-        p = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[p[:, 0]], "b": ids[p[:, 1]]})
 
-    return run
+def _screened(pairs: DataFrame, base: DataFrame, bands: Bands) -> DataFrame:
+    """a, b: candidates that the dense sketches allow.
+
+    Of each centre's group: the centre with what is near it; and what is not near it with all of the
+    group, as the centre says nothing about those. Large groups are dealt in pairs of blocks.
+    """
+    rows = base.where("n > 0 and id is not null")
+    sketches = rows.select("id", "n", "f", F.col("own").alias("sketch")).unionByName(rows.where("f > 0").select("id", "n", (F.col("f") - 1).alias("f"), F.col("low").alias("sketch"))).distinct()
+    x = sketches.toDF("b", "nb", "f", "sb")
+    y = sketches.toDF("a", "na", "f", "sa")
+
+    def flag(batches):
+        for batch in batches:
+            f, out = batch.column("f").to_numpy(), np.zeros(batch.num_rows, bool)
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            for g in np.unique(f):
+                at = np.flatnonzero(f == g)
+                read = lambda c: np.frombuffer(b"".join([c[i] for i in at]), np.uint64).reshape(len(at), -1)  # noqa: E731, B023
+                out[at] = _near(read(sa), na[at], read(sb), nb[at], bands)
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("a"), batch.column("b"), pa.array(out)], names=["f", "a", "b", "near"])
+
+    flagged = pairs.join(x, ["f", "b"]).join(y, ["f", "a"]).select("f", "a", "b", "na", "nb", "sa", "sb").mapInArrow(flag, "f int, a long, b long, near boolean")
+    flagged = checkpointed(flagged)
+    star = flagged.where("near").select("a", "b")
+    sizes = flagged.groupBy("f", "a").agg(F.count("*").alias("members"), F.count_if(~F.col("near")).alias("apart")).where("apart > 0 and members > 1")
+    group = flagged.join(sizes, ["f", "a"])
+    blocks = F.ceil(F.col("members") / GROUP).cast("int")
+    group = group.withColumn("mine", F.pmod(F.xxhash64("b"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    group = group.select("f", "a", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "b", "near")
+    dealt = group.join(x, ["f", "b"]).select("f", "a", "i", "j", "b", "near", "nb", "sb")
+
+    def screen(table: pa.Table) -> pa.Table:
+        ids, near, n = table.column("b").to_numpy(), table.column("near").to_numpy(), table.column("nb").to_numpy()
+        s = np.frombuffer(b"".join(table.column("sb").to_pylist()), np.uint64).reshape(len(ids), -1)
+        a, b = [], []
+        for i in np.flatnonzero(~near):
+            hit = _near(s, n, s[i : i + 1], n[i : i + 1], bands) & (ids != ids[i])
+            a.append(np.minimum(ids[hit], ids[i]))
+            b.append(np.maximum(ids[hit], ids[i]))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    return star.unionByName(dealt.groupBy("f", "a", "i", "j").applyInArrow(screen, "a long, b long")).distinct()
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """id, set of the documents in ``ids`` (column id), and of others that a table of fixed size takes for them. Sets are made again rather than kept."""
-    cells = HELD * 64
-    used = np.zeros(cells, bool)
-    used[ids.select(F.pmod("id", F.lit(cells)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy()] = True
+    """id, set of the documents in ``ids`` (column id). Sets are made again rather than kept.
+
+    Up to ``MOST_IDS`` ids, a table of their low bits keeps other documents from the shuffle, but for a
+    few; beyond, a semi-join does.
+    """
+    ids = ids.distinct()
+    if ids.limit(MOST_IDS + 1).count() > MOST_IDS:
+        docs, used = docs.join(ids, "id", "left_semi"), np.ones(HELD, bool)
+    else:
+        used = np.zeros(HELD, bool)
+        used[ids.select(F.pmod("id", F.lit(HELD)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(used))
 
     def sets(batches):
@@ -247,26 +286,37 @@ def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 id = batch.column(0).to_numpy(zero_copy_only=False)
                 null = np.asarray(batch.column(0).is_null())
                 hit = ~null
-                hit[hit] = used[np.mod(id[~null].astype(np.int64), cells)]
+                hit[hit] = used[np.mod(id[~null].astype(np.int64), HELD)]
                 yield batch.filter(pa.array(hit))
 
         for whole in wanted():
             for batch in rows_of(whole, SLICE):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(s) for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
 
     return docs.mapInArrow(sets, "id long, set binary")
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """A set as 48 bits of each hash: what two documents of n shingles share by chance is n**2 / 2**48."""
+    return np.sort(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    made = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
+    """The pairs (a, b) whose sets are similar. Sets are made once and join both sides."""
+    made = checkpointed(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, k))
     both = pairs.join(made.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(made.withColumnsRenamed({"id": "b", "set": "y"}), "b")
 
     def check(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpacked(x), _unpacked(y)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
@@ -281,7 +331,7 @@ def _across(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table.column("x").to_numpy(), table.column("c").to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        sets = [_unpacked(s) for s in table.column("set").to_pylist()]
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
         flat = np.concatenate(sets)
@@ -319,13 +369,13 @@ def _rest(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent:
     return dealt.groupBy("m", "i", "j").applyInArrow(_across(percent), "a long, b long")
 
 
-def links(docs: DataFrame, base: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def links(docs: DataFrame, base: DataFrame, bands: Bands, k: int = 5, percent: int = 80) -> DataFrame:
     """a, b: links enough to connect all that similar pairs connect. ``docs`` has id (long) and text."""
-    bands = Bands(percent)
     common, offered = _frequencies(docs, k, bands)
     parts = {f: -(-n // TARGET) for f, n in offered.items()}
     blobs = _blobs(docs, k, bands, common, parts)
-    pairs = checkpointed(blobs.groupBy("part").applyInArrow(_candidates(bands), "a long, b long").distinct())
+    pairs = checkpointed(blobs.groupBy("part").applyInArrow(_candidates, "f int, a long, b long").distinct())
+    pairs = checkpointed(_screened(pairs, base, bands))
     sure = _verified(pairs, docs, k, percent)
     # copies: every document with the least of its set
     least = base.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
@@ -345,8 +395,9 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k:
     their names.
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    base = checkpointed(_base(own, k))
-    label = components(links(own, base, k, percent))
+    bands = Bands(percent)
+    base = checkpointed(_base(own, k, bands))
+    label = components(links(own, base, bands, k, percent))
     out = base.join(label, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
