@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, field
+from quillforge.llm._common import checkpointed, few, field
 
 STRIP = b" \t\n\x0b\x0c\r"
 HOT = 4_096  # rows of a key from which it is settled by counts
@@ -114,15 +114,16 @@ def dropped_lines(docs: DataFrame, least: int = 20, documents: int = 3, hot: int
     """id, t, pos of the lines that go; ``docs`` has id, t (a hash of the text) and text."""
     rows = checkpointed(_key_rows(docs, least))
     counts = rows.groupBy("h1", "h2").count().where(F.col("count") >= hot).select("h1", "h2")
-    hots = checkpointed(counts)
+    hots = checkpointed(counts)  # at most rows / hot keys
+    small = F.broadcast if few(hots) else lambda df: df
     schema = T.StructType([rows.schema["id"], rows.schema["t"], rows.schema["pos"]])
-    cold = rows.join(hots, ["h1", "h2"], "left_anti")
+    cold = rows.join(small(hots), ["h1", "h2"], "left_anti")
     cold = cold.repartitionByRange(F.col("h1"), F.col("h2")).sortWithinPartitions("h1", "h2", F.col("id").desc_nulls_last(), "t", "pos")
     gone = cold.mapInArrow(_stream(documents), schema)
-    warm = rows.join(hots, ["h1", "h2"])
+    warm = rows.join(small(hots), ["h1", "h2"])
     held = warm.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
     held = held.where(F.col("n") >= documents).withColumnsRenamed({"h1": "g1", "h2": "g2"})
-    settled = warm.join(held, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.col("id").eqNullSafe(F.col("last")))
+    settled = warm.join(small(held), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(~F.col("id").eqNullSafe(F.col("last")))
     return gone.unionByName(settled.select("id", "t", "pos"))
 
 
