@@ -37,7 +37,7 @@ TARGET = 600_000  # block values that one task joins, about
 LONE = 64  # bands of sets up to this size give each shingle a block of its own
 HELD = 1 << 25  # bits of the id filter
 MOST_IDS = 4_000_000
-GROUP = 1_000  # members of a block
+GROUP = 2_500  # members of a block
 
 
 class Bands:
