@@ -5,8 +5,9 @@ shingles in a row one is selected by its hash alone, so wherever a passage of 51
 copy of one of its paragraphs starts at the same place of it. Lines, and blocks between blank lines, of
 30 words or more are paragraphs too, whole, so that near-equal ones compare over all their words. MinHash over a paragraph's five-word
 shingles is banded (3 bands of 2: 95 % of pairs at a similarity of 0.8, 99 % at 0.9, all equal ones);
-paragraphs that collide are compared with their bucket's centre by exact Jaccard similarity, links make
-components, and of each component found in two documents or more the least document keeps its copy.
+what collides is compared by 64-bit parity sketches, which bound the similarity from above, and parts of a
+bucket that sketches connect become groups. In a group, members are compared with a neighbour by exact
+Jaccard similarity, then members of different components with each other. Links make components, and of each component found in two documents or more the least document keeps its copy.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ K = 5
 BANDS, ROWS = 3, 2
 CELLS = 1 << 22
 TARGET = 600_000  # band values that one task joins, about
+SMALL = 64  # members of a bucket that is compared along with the others
+LARGE = 20_000  # members of a bucket whose sketches are compared; larger ones are groups as they are
+GROUP = 2_500  # members of a block
 
 
 def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
@@ -138,20 +142,21 @@ def _found(batches):
 
 
 def _blobs(parts: int):
-    """part, sigs, contents: packed band values for the task that joins them; a task sends a content once."""
+    """part, sigs, contents, sketches, sizes: packed band values for the task that joins them; a task sends a content once."""
 
     def run(batches):
-        seen, sigs, contents, held = set(), [], [], 0
+        seen, sigs, contents, marks, held = set(), [], [], [], 0
 
         def flush():
             v, c = np.concatenate(sigs), np.concatenate(contents)
             c = np.repeat(c, BANDS)
+            mark, n = (np.repeat(np.concatenate(x), BANDS) for x in zip(*marks, strict=True))
             v = v.ravel()
             to = (v >> np.uint64(32)) % np.uint64(parts)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.diff(to[order])) + 1
             for at in np.split(order, cuts):
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[at[0]])]), pa.array([v[at].astype(np.uint32).tobytes()]), pa.array([c[at].tobytes()])], names=["part", "sigs", "contents"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[at[0]])]), pa.array([v[at].astype(np.uint32).tobytes()]), pa.array([c[at].tobytes()]), pa.array([mark[at].tobytes()]), pa.array([n[at].astype(np.uint32).tobytes()])], names=["part", "sigs", "contents", "sketches", "sizes"])
 
         for _, h, starts, sizes, c in _each(batches):
             c, first = np.unique(c, return_index=True)
@@ -163,26 +168,100 @@ def _blobs(parts: int):
                 seen.update(c.tolist())
             sigs.append(band_values(h, starts[first], sizes[first]))
             contents.append(c)
+            marks.append(sketches(h, starts[first], sizes[first]))
             held += len(c)
             if held > 1_000_000:
                 yield from flush()
-                sigs, contents, held = [], [], 0
+                sigs, contents, marks, held = [], [], [], 0
         if held:
             yield from flush()
 
     return run
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """a, b: the contents of each bucket with its centre, the least."""
-    sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint32)
-    contents = np.frombuffer(b"".join(table.column("contents").to_pylist()), np.int64)
-    order = np.lexsort((contents, sigs))
-    sigs, contents = sigs[order], contents[order]
-    first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
-    centre = np.repeat(contents[first], np.diff(np.r_[first, len(sigs)]))
-    pairs = np.unique(np.stack([centre, contents], axis=1)[centre != contents], axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def sketches(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketch and number of each paragraph's distinct shingles: every one flips one of 64 bits."""
+    bit = np.uint64(1) << (mix(h ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(58))
+    run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit)])
+    mark, n = run[starts + sizes] ^ run[starts], sizes.copy()
+    order = np.argsort(h, kind="stable")
+    again = np.zeros(len(h) + 1, np.int64)
+    again[order[1:][h[order[1:]] == h[order[:-1]]] + 1] = 1
+    again = np.cumsum(again)
+    for i in np.flatnonzero(again[starts + sizes] > again[starts]):
+        _, at = np.unique(h[starts[i] : starts[i] + sizes[i]], return_index=True)
+        mark[i], n[i] = np.bitwise_xor.reduce(bit[starts[i] + at]), len(at)
+    return mark, n
+
+
+def _near(x, nx, y, ny, percent: int) -> np.ndarray:
+    """Whether sets with these sketches and sizes can be similar: the distance is at most the symmetric difference."""
+    small, large = np.minimum(nx, ny), np.maximum(nx, ny)
+    return (small * 100 >= large * percent) & (np.bitwise_count(x ^ y) * (100 + percent) <= (100 - percent) * (nx + ny))
+
+
+def _connect(mark: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """root, parent: places of each member's least connected member and of a near one on the way there."""
+    root, parent = np.arange(len(mark)), np.arange(len(mark))
+    left = np.arange(len(mark))
+    while len(left):
+        top, left = left[0], left[1:]
+        queue = [top]
+        while queue and len(left):
+            i = queue.pop()
+            hit = _near(mark[left], n[left], mark[i], n[i], percent)
+            root[left[hit]], parent[left[hit]] = top, i
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return root, parent
+
+
+def _candidates(percent: int):
+    """g, x, p: of each part of a bucket that sketches connect, its least content, each other member, and one to compare that with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sigs, contents, mark, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("sigs", np.uint32), ("contents", np.int64), ("sketches", np.uint64), ("sizes", np.uint32)))
+        order = np.lexsort((contents, sigs))
+        sigs, contents, mark, n = sigs[order], contents[order], mark[order], n[order].astype(np.int64)
+        new = np.r_[True, (sigs[1:] != sigs[:-1]) | (contents[1:] != contents[:-1])]
+        sigs, contents, mark, n = sigs[new], contents[new], mark[new], n[new]
+        first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+        members = np.diff(np.r_[first, len(sigs)])
+        bucket = np.repeat(np.arange(len(first)), members)
+        root, parent = np.arange(len(sigs)), np.arange(len(sigs))
+        lows, highs = [np.zeros(0, int)], [np.zeros(0, int)]
+        at = np.flatnonzero((members[bucket] > 1) & (members[bucket] <= SMALL))
+        for step in range(1, SMALL):
+            at = at[at + step < len(sigs)]
+            at = at[bucket[at] == bucket[at + step]]
+            if not len(at):
+                break
+            hit = at[_near(mark[at], n[at], mark[at + step], n[at + step], percent)]
+            lows.append(hit)
+            highs.append(hit + step)
+        low, high = np.concatenate(lows), np.concatenate(highs)
+        np.minimum.at(parent, high, low)
+        while True:
+            least = root.copy()
+            np.minimum.at(least, high, root[low])
+            np.minimum.at(least, low, root[high])
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        parent = np.where(parent == np.arange(len(sigs)), root, parent)
+        for k in np.flatnonzero(members > SMALL):
+            i, j = first[k], first[k] + members[k]
+            if members[k] > LARGE:
+                root[i:j] = parent[i:j] = i
+            else:
+                own = _connect(mark[i:j], n[i:j], percent)
+                root[i:j], parent[i:j] = own[0] + i, own[1] + i
+        x = np.flatnonzero(root != np.arange(len(sigs)))
+        rows = np.unique(np.stack([contents[root[x]], contents[x], contents[parent[x]]], axis=1), axis=0)
+        return pa.table({"g": rows[:, 0], "x": rows[:, 1], "p": rows[:, 2]})
+
+    return run
 
 
 def _bits(contents: DataFrame, column: str):
@@ -196,9 +275,9 @@ def _in_bits(bits: np.ndarray, contents: np.ndarray) -> np.ndarray:
     return bits[np.mod(contents.view(np.int64), CELLS)]
 
 
-def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of contents (a, b) whose shingle sets are similar."""
-    shared = _bits(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c")
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """content, set: the shingle sets of the contents in ``wanted`` (column content), and of others that share their bits."""
+    shared = _bits(wanted, "content")
 
     def sets(batches):
         bits, seen = np.unpackbits(shared.value).astype(bool), set()
@@ -210,7 +289,13 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     seen.update(out)
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.unique(s).tobytes() for s in out.values()], pa.binary())], names=["content", "set"])
 
-    made = docs.mapInArrow(sets, "content long, set binary").groupBy("content").agg(F.first("set").alias("set"))
+    return docs.mapInArrow(sets, "content long, set binary").join(wanted.distinct(), "content", "left_semi").groupBy("content").agg(F.first("set").alias("set"))
+
+
+def _links(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs of contents (a, b) of ``groups`` (x with p) whose shingle sets are similar."""
+    pairs = groups.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
+    made = checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content"))))
     both = pairs.join(made.withColumnsRenamed({"content": "a", "set": "x"}), "a").join(made.withColumnsRenamed({"content": "b", "set": "y"}), "b")
 
     def check(batches):
@@ -225,6 +310,50 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _across(percent: int):
+    """Links (a, b) that unite the components of one block's members (x, c, set); links inside what is united already are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("x").to_numpy(), table.column("c").to_numpy()
+        names, comp, count = np.unique(comp, return_inverse=True, return_counts=True)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        united = np.arange(len(names))  # of each component
+        a, b = [], []
+        for i in np.flatnonzero(comp != count.argmax()):  # every pair across has a member outside the largest
+            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            both = np.bincount(np.concatenate([row[p:q] for p, q in zip(low, high, strict=True)]), minlength=len(sets))
+            hits = np.flatnonzero(100 * both >= percent * (size + size[i] - both))
+            for c in np.unique(united[comp[hits]]):
+                own = united[comp[i]]
+                if c != own:
+                    a.append(node[i])
+                    b.append(node[hits[united[comp[hits]] == c][0]])
+                    united[united == c] = own
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(docs: DataFrame, groups: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a group that ``edges`` leave in different components. Groups are dealt in pairs of blocks."""
+    known = components(edges)
+    members = groups.select("g", "x").unionByName(groups.select("g", F.col("g").alias("x"))).distinct()
+    labelled = members.join(known, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("c"))
+    open_ = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("g", "n")
+    group = checkpointed(labelled.join(open_, "g"))
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    dealt = group.withColumn("own", F.pmod(F.xxhash64("x"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "c")
+    sets = _sets(docs, group.select(F.col("x").alias("content")))
+    dealt = dealt.join(sets, F.col("x") == F.col("content")).select("g", "i", "j", "x", "c", "set")
+    return dealt.groupBy("g", "i", "j").applyInArrow(_across(percent), "a long, b long")
+
+
 def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``id``, start_word, n_words, kept_in (the least id that holds a paragraph like it), removed (whether this copy goes).
 
@@ -238,9 +367,10 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size * BANDS // (70 * TARGET)))  # a paragraph begins every 70 bytes or so
-    blobs = own.mapInArrow(_blobs(parts), "part long, sigs binary, contents binary")
-    pairs = checkpointed(blobs.groupBy("part").applyInArrow(_candidates, "a long, b long").distinct())
-    known = components(checkpointed(_links(own, pairs, percent)))
+    blobs = own.mapInArrow(_blobs(parts), "part long, sigs binary, contents binary, sketches binary, sizes binary")
+    groups = checkpointed(blobs.groupBy("part").applyInArrow(_candidates(percent), "g long, x long, p long").distinct())
+    edges = checkpointed(_links(own, groups, percent))
+    known = components(edges.unionByName(_rest(own, groups, edges, percent)))
     where = own.mapInArrow(_found, "content long, id long").groupBy("content").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     where = where.join(known, F.col("content") == F.col("node"), "left").where("component is not null or low <> high")
     where = checkpointed(where.select("content", F.coalesce("component", "content").alias("cluster"), "low", "high"))

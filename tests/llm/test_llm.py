@@ -133,6 +133,63 @@ def test_near_equal_paragraphs_link(spark):
     assert {r["doc_id"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1}
 
 
+@pytest.mark.parametrize("n", [50, 60, 70, 80])
+def test_edited_lines_link_over_all_their_words(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(100):
+        w = prose(rng, n, 9000).split()
+        for j, middle in enumerate([w[n // 2], "edited"]):
+            w[n // 2] = middle
+            text = " ".join(w) if i % 2 else f"{prose(rng, 40, 9000)}\n{' '.join(w)}\n\n{prose(rng, 40, 9000)}"
+            rows.append((2 * i + j, text, None, None, 0))
+    got = {r["doc_id"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) >= 0.9 * len(rows)
+
+
+def test_buckets_connect_all_that_similar_members_connect(monkeypatch):
+    """Variants of a few paragraphs in one bucket: components of all similar pairs, by small, large and huge buckets."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(40):
+        w = prose(rng, 30).split()
+        for _ in range(12):
+            v = list(w)
+            for at in rng.choices([0, 1, 28, 29], k=3):
+                v[at] = f"x{rng.randrange(3)}"
+            rows.append(v)
+    h = [_shingles.shingles(_shingles.words(pa.array([" ".join(v)])), 5)[0] for v in rows]
+    contents = sorted({int(substring_dedup._contents(x, np.array([0]), np.array([26]))[0].view(np.int64)): i for i, x in enumerate(h)}.items())
+    sets = {c: set(h[i].tolist()) for c, i in contents}
+    names = list(sets)
+    similar = {(a, b) for i, a in enumerate(names) for b in names[:i] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+    def labels(pairs):
+        own = {c: c for c in names}
+        for _ in names:
+            new = dict(own)
+            for a, b in pairs:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == own:
+                return own
+            own = new
+
+    marks = [substring_dedup.sketches(h[i], np.array([0]), np.array([26])) for _, i in contents]
+    table = pa.table({"sigs": [np.zeros(len(names), np.uint32).tobytes()], "contents": [np.array(names).tobytes()], "sketches": [np.concatenate([m for m, _ in marks]).tobytes()], "sizes": [np.concatenate([n for _, n in marks]).astype(np.uint32).tobytes()]})
+    for small, large in ((1_000, 20_000), (64, 20_000), (64, 100)):
+        monkeypatch.setattr(substring_dedup, "SMALL", small)
+        monkeypatch.setattr(substring_dedup, "LARGE", large)
+        found = substring_dedup._candidates(80)(table).to_pylist()
+        edges = {(r["x"], r["p"]) for r in found if {(r["x"], r["p"]), (r["p"], r["x"])} & similar}
+        known = labels(edges)
+        for g in {r["g"] for r in found}:
+            own = [g, *sorted({r["x"] for r in found if r["g"] == g})]
+            more = substring_dedup._across(80)(pa.table({"x": own, "c": [known[c] for c in own], "set": [np.sort(np.array(list(sets[c]), np.uint64)).tobytes() for c in own]}))
+            edges |= set(zip(more.column(0).to_pylist(), more.column(1).to_pylist(), strict=True))
+        assert all((a, b) in similar or (b, a) in similar for a, b in edges)
+        assert labels(edges) == labels(similar)
+
+
 def test_own_repeats_do_not_count(spark):
     text = " ".join([prose(random.Random(1), 60)] * 3)
     assert substring_dedup.substring_dedup(spark.createDataFrame([(0, text, None, None, 0)], SCHEMA)).collect() == []
