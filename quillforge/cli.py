@@ -81,7 +81,8 @@ def _topic_model(spark, a: argparse.Namespace) -> None:
             m = topics.fold_in(m, toks, a.niter)
             print(topics.perplexity(m))
     if a.test_cohesion:
-        out = topics.cohesion(m, m.tokens.select("doc", "sent").distinct(), a.top_n)
+        given = topics.token_table(L.sentence_lines(L.read_lines(spark, *a.inputs)), sent="sentno").na.fill("0", ["sent"])
+        out = topics.cohesion(m, given.select("doc", "sent").distinct(), a.top_n, sentences=given, sweeps=a.niter)
         L.write_lines(_line(out, "query_doc", "query_sent", "doc", "sent", F.col("perplexity").cast("string")), a.out)
     tables = {"theta": topics.theta, "phi_theta": topics.phi_theta}
     dumps = {"word-cluster": topics.word_clusters, "topic-cluster": topics.topic_clusters, "sentence-topic-cluster": topics.sentence_topic_clusters, "word-mixture": topics.word_mixtures}

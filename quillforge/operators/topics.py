@@ -285,23 +285,118 @@ def word_mixtures(m: Model, n: int = 100) -> DataFrame:
     return _top(word_mixture(m), "x", "word", n)
 
 
-def cohesion(m: Model, queries: DataFrame, n: int = 100) -> DataFrame:
+def _packed_sentences(m: Model, sentences: DataFrame) -> DataFrame:
+    """doc, sent, words, counts: hashes of a sentence's words and, for each, the trained counts of every topic."""
+    rows = sentences.join(_per(m.tokens, "word", "z", "by_word"), "word", "left").select("doc", "sent", F.struct("pos", F.xxhash64("word").alias("w"), "by_word").alias("tok"))
+    rows = rows.groupBy("doc", "sent").agg(F.array_sort(F.collect_list("tok")).alias("toks"))
+    rows = rows.select("doc", "sent", F.col("toks.w").alias("w"), F.col("toks.by_word").alias("by_word"))
+    t = m.t
+
+    def run(batches):
+        for b in batches:
+            words, counts = [], []
+            for w, lists in zip(b.column("w").to_pylist(), b.column("by_word").to_pylist(), strict=True):
+                n = np.zeros((len(w), t), np.int64)
+                for i, own in enumerate(lists):
+                    for x in own or ():
+                        n[i, x["k"]] = x["n"]
+                words.append(np.array(w, np.int64).tobytes())
+                counts.append(n.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("sent"), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], names=["doc", "sent", "words", "counts"])
+
+    return rows.mapInArrow(run, "doc string, sent string, words binary, counts binary")
+
+
+def _fit(sents: list, n_z: np.ndarray, n_xz: np.ndarray | None, w: int, m: dict, sweeps: int, rng) -> float:
+    """Perplexity of one document of sentences (word hashes, trained counts) after ``sweeps`` Gibbs sweeps against trained counts.
+
+    One level: of the next sweep, as it samples. Two levels: the mean of the mixtures' over 20 further sweeps.
+    """
+    t, s, alpha, beta, delta = m["t"], m["s"], m["alpha"], m["beta"], m["delta"]
+    base = np.concatenate([c for _, c in sents])
+    names, word = np.unique(np.concatenate([h for h, _ in sents]), return_inverse=True)
+    n, at, sent = len(word), np.arange(len(word)), np.repeat(np.arange(len(sents)), [len(h) for h, _ in sents])
+    w_beta = (w + len(np.unique(word[base.sum(axis=1) == 0]))) * beta  # new words extend the vocabulary
+    z, x = rng.integers(0, t, n), rng.integers(0, max(s, 1), len(sents))
+
+    def counted():
+        own = np.zeros((len(names), t))
+        np.add.at(own, (word, z), 1)
+        both = None
+        if s:
+            both = n_xz.copy()
+            np.add.at(both, (x[sent], z), 1)
+        return base + own[word], n_z + np.bincount(z, minlength=t), both
+
+    found = []
+    for sweep in range(sweeps + (20 if s else 1)):
+        by_word, total, both = counted()
+        total = np.repeat(total[None].astype(float), n, axis=0)
+        by_word[at, z] -= 1
+        total[at, z] -= 1
+        if s:
+            other, prior = both[x[sent]], delta
+        else:
+            other, prior = np.repeat(np.bincount(z, minlength=t)[None].astype(float), n, axis=0), alpha
+        whole = other.sum(axis=1) - 1
+        other[at, z] -= 1
+        p = (by_word + beta) / (total + w_beta) * (other + prior) / (whole + t * prior)[:, None]
+        z = _draw(p, rng.random(n))
+        if not s:
+            if sweep == sweeps:
+                found.append(np.exp(-np.log(p.sum(axis=1)).mean()))
+            continue
+        _, _, both = counted()
+        docs, new = np.bincount(x, minlength=s), x.copy()
+        for i in range(len(sents)):
+            k, c = np.unique(z[sent == i], return_counts=True)
+            own, sums, shares = both[:, k].copy(), both.sum(axis=1), docs + alpha
+            own[x[i]] -= c
+            sums[x[i]] -= c.sum()
+            shares[x[i]] -= 1
+            lp = np.log(shares)
+            for col, count in enumerate(c):
+                lp += np.log(own[:, col][:, None] + delta + np.arange(count)).sum(axis=1)
+            lp -= np.log(sums[:, None] + t * delta + np.arange(c.sum())).sum(axis=1)
+            new[i] = _draw(np.exp(lp - lp.max())[None], rng.random(1))[0]
+        x = new
+        if sweep >= sweeps:
+            by_word, total, both = counted()
+            mixed = (np.bincount(x, minlength=s) + alpha) / (len(sents) + s * alpha) @ ((both + delta) / (both.sum(axis=1) + t * delta)[:, None])
+            found.append(np.exp(-np.log((by_word + beta) / (total + w_beta) @ mixed).mean()))
+    return float(np.mean(found))
+
+
+def cohesion(m: Model, queries: DataFrame, n: int = 100, *, sentences: DataFrame | None = None, sweeps: int = 20) -> DataFrame:
     """query_doc, query_sent, doc, sent, perplexity, rank: sentences of other documents, and the query itself, that fit best in its place.
 
-    ``queries`` (doc, sent) are sentences of the model. The document's topics without the query's tokens
-    judge each candidate's words; the least perplexity is first.
+    ``queries`` (doc, sent) are sentences of ``sentences`` (doc, sent, pos, word), by default the model's own.
+    Each candidate stands in for the query in its document, which is folded in by ``sweeps`` sweeps while
+    the trained counts hold; the least perplexity of the document is first. Every document is sampled by
+    itself, from a start that its query and candidate decide.
     """
-    size, topic = (m.s, "x") if m.s else (m.t, "z")
-    words = word_mixture(m).withColumnRenamed("x", "k") if m.s else phi(m).withColumnRenamed("z", "k")
-    q = queries.select(F.col("doc").alias("query_doc"), F.col("sent").alias("query_sent"))
-    rest = q.join(m.tokens.withColumnRenamed("doc", "query_doc"), "query_doc").where("sent <> query_sent").groupBy("query_doc", "query_sent", F.col(topic).alias("k")).agg(F.count("*").alias("n"))
-    total = rest.groupBy("query_doc", "query_sent").agg(F.sum("n").alias("n_d"))
-    th = _grid(q.sparkSession, q.join(total, ["query_doc", "query_sent"], "left"), size, "k").join(rest, ["query_doc", "query_sent", "k"], "left")
-    th = th.select("query_doc", "query_sent", "k", ((F.coalesce("n", F.lit(0)) + m.alpha) / (F.coalesce("n_d", F.lit(0)) + size * m.alpha)).alias("a"))
-    fit = th.join(words, "k").groupBy("query_doc", "query_sent", "word").agg(F.log(F.sum(F.col("a") * F.col("p"))).alias("lp"))
-    sents = m.tokens.groupBy("doc", "sent", "word").agg(F.count("*").alias("n"))
-    pairs = fit.join(sents, "word").where("doc <> query_doc or sent = query_sent")
-    pairs = pairs.groupBy("query_doc", "query_sent", "doc", "sent").agg(F.exp(-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("perplexity"))
+    sents = _packed_sentences(m, m.tokens if sentences is None else sentences).persist()
+    q = queries.select(F.col("doc").alias("query_doc"), F.col("sent").alias("query_sent")).distinct()
+    rest = sents.select(F.col("doc").alias("query_doc"), F.col("sent").alias("other"), F.struct("words", "counts").alias("own"))
+    rest = q.join(rest, "query_doc").groupBy("query_doc", "query_sent").agg(F.array_sort(F.collect_list(F.when(F.col("other") != F.col("query_sent"), F.struct("other", "own")))).alias("rest"))
+    pairs = rest.repartition("query_doc", "query_sent").crossJoin(sents).where("doc <> query_doc or sent = query_sent")
+    pairs = pairs.select("query_doc", "query_sent", "doc", "sent", F.xxhash64(F.lit(m.seed), "query_doc", "query_sent", "doc", "sent").alias("start"), "rest.own", "words", "counts")
+    sc, t = m.tokens.sparkSession.sparkContext, m.t
+    shared = sc.broadcast((_vector(m.tokens, "z", t), _matrix(m.tokens, m.s, t) if m.s else None, vocabulary(m)))
+    numbers = {"t": t, "s": m.s, "alpha": m.alpha, "beta": m.beta, "delta": m.delta}
+    read = lambda words, counts: (np.frombuffer(words, np.int64), np.frombuffer(counts, np.int64).reshape(-1, t))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                whole = [read(o["words"], o["counts"]) for o in b.column("own")[i].as_py()]
+                whole.append(read(b.column("words")[i].as_py(), b.column("counts")[i].as_py()))
+                rng = np.random.default_rng(b.column("start")[i].as_py() & (1 << 64) - 1)
+                out.append(_fit(whole, *shared.value, numbers, sweeps, rng))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.float64())], names=[*b.schema.names[:4], "perplexity"])
+
+    pairs = pairs.mapInArrow(run, "query_doc string, query_sent string, doc string, sent string, perplexity double")
     rank = F.row_number().over(Window.partitionBy("query_doc", "query_sent").orderBy(F.round("perplexity", 9), "doc", "sent"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,27 @@ def test_lda(spark):
     assert all(r["doc"] != "d1" or r["sent"] == "0" for r in best)
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_cohesion_folds_in_whole_documents_of_given_sentences(spark, two):
+    m = topics.train(topics.slda(corpus(spark), 2, 2, alpha=0.1, beta=0.1, delta=0.1) if two else topics.lda(corpus(spark), 2, alpha=0.1), 20)
+    rows = [("new", "0", ["cat", "dog", "dog"]), ("new", "1", ["cat", "dog"]), ("p", "0", ["sun", "moon", "sky"]), ("q", "0", ["cat", "dog", "cat"]), ("r", "0", ["unseen"])]
+    given = topics.token_table(spark.createDataFrame(rows, "docno string, sentno string, toks array<string>"), sent="sentno")
+    got = topics.cohesion(m, given.select("doc", "sent").distinct().where("doc = 'new' and sent = '0'"), 9, sentences=given, sweeps=5).orderBy("rank").collect()
+    assert sorted((r["doc"], r["sent"]) for r in got) == [("new", "0"), ("p", "0"), ("q", "0"), ("r", "0")]
+    by = {r["doc"]: r["perplexity"] for r in got}
+    assert max(by["new"], by["q"]) < by["p"]
+    again = topics.cohesion(m, given.select("doc", "sent").distinct().where("doc = 'new' and sent = '0'"), 9, sentences=given, sweeps=5).orderBy("rank").collect()
+    assert got == again
+
+
+def test_cohesion_takes_the_perplexity_of_the_sweep_after_the_last():
+    """One word, one topic: every sweep's probability is known."""
+    sents = [(np.array([1, 1]), np.array([[3], [3]])), (np.array([2]), np.array([[0]]))]
+    m = {"t": 1, "s": 0, "alpha": 1.0, "beta": 0.5, "delta": 0.0}
+    p = [(3 + 1 + 0.5) / (10 + 2 + 6 * 0.5)] * 2 + [0.5 / (10 + 2 + 6 * 0.5)]  # a vocabulary of 5, and the new word
+    assert topics._fit(sents, np.array([10.0]), None, 5, m, 3, np.random.default_rng(0)) == pytest.approx(np.exp(-np.log(p).mean()))
+
+
 def test_slda(spark, tmp_path):
     m = topics.train(topics.slda(corpus(spark), 2, 2), 3)
     assert m.tokens.groupBy("doc", "sent").agg(F.count_distinct("x").alias("n")).where("n > 1").count() == 0
