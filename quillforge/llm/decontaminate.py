@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A text's windows of as many words as an item has are fingerprinted by SimHash over their word
+A text's windows of as many words as an item has, or the whole of a shorter text, are fingerprinted by SimHash over their word
 shingles, each as heavy as it is frequent in the window. Fingerprints meet items of the same length in
 a multi-index: of four 16-bit blocks at least one differs in no more than a quarter of the radius, and
 items stand in the index under all such variants of their blocks, so every fingerprint within the
@@ -24,7 +24,7 @@ from quillforge.llm._common import checkpointed, field, rows_of, without
 from quillforge.llm._shingles import SLICE, shingles, words
 
 CELLS = 1 << 22  # of the table of item shingles
-RADIUS = 15
+RADIUS = 19
 BLOCKS = 4
 BITS = 64 // BLOCKS
 #: Within the radius some block differs in RADIUS // BLOCKS bits at most: all masks of so few bits.
@@ -41,9 +41,9 @@ def votes(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
-def least_shared(m: int, percent: int) -> int:
-    """Shingles that two multisets of m share at least if their Jaccard similarity is ``percent`` or more."""
-    return -(-2 * m * percent // (100 + percent))
+def least_shared(m: int, percent: int, other: int | None = None) -> int:
+    """Shingles that two multisets, of m and of m or ``other``, share at least if their Jaccard similarity is ``percent`` or more."""
+    return -(-(m + (m if other is None else other)) * percent // (100 + percent))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -118,10 +118,11 @@ def _windows(docs: DataFrame, used: np.ndarray, lengths: list[int], k: int, perc
     def windows(id, h, hit, kk, own):
         count = np.concatenate([[0], np.cumsum(hit)])
         for n in own:
-            m = n - kk + 1
-            if m > len(h):
+            m = min(n - kk + 1, len(h))  # a shorter text is one window
+            least = least_shared(n - kk + 1, percent, m)
+            if least > m:
                 continue
-            at = np.flatnonzero(count[m:] - count[:-m] >= least_shared(m, percent))
+            at = np.flatnonzero(count[m:] - count[:-m] >= least)
             for i in range(0, len(at), 4096):
                 part = at[i : i + 4096]
                 sets = h[part[:, None] + np.arange(m)]
@@ -135,7 +136,7 @@ def _windows(docs: DataFrame, used: np.ndarray, lengths: list[int], k: int, perc
 def leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``id``, ``item_id``, similarity (best, 0 to 1), start_word, n_words, n_windows: one row per document and item that it holds.
 
-    A document holds an item if a window of as many words has a fingerprint within 15 bits of the item's
+    A document holds an item if a window of as many words, or the whole of a shorter text, has a fingerprint within 19 bits of the item's
     and a weighted-shingle similarity of ``percent`` hundredths or more (shingles of ``k`` words; an item
     of fewer words is one shingle). start_word is the first window of the best similarity. Null, empty
     and blank texts and items hold nothing and are held by nothing; rows of one id count as one
@@ -167,7 +168,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str =
     def verify(batches):
         for batch in batches:
             s = np.array([similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s, pa.float64())], names=schema.names)
+            size = [len(a) // 8 + min(k, n) - 1 for a, n in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int32()), pa.array(s, pa.float64())], names=schema.names)
             yield out.filter(pa.array(s * 100 >= percent - 1e-9))
 
     held = both.select("id", "item", "start", "n", "set", "i_set").mapInArrow(verify, schema)

@@ -341,6 +341,30 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs.limit(0), bench).collect() == []
 
 
+def test_leaks_equal_plain_similarity_and_short_texts(spark):
+    """Windows of a similarity of 0.8 or more, whatever their fingerprints, and texts shorter than their item."""
+    rng = random.Random(31)
+    items = [prose(rng, n) for n in (30, 44, 60) for _ in range(200)]
+    rows = []
+    for item in items:
+        v = item.split()
+        v[len(v) // 2] = "edited"  # an item of 30 words falls below 0.8
+        rows.append(" ".join(v))
+        rows.append(" ".join(item.split()[:-2]))
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(rows)], SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, bench).collect()}
+    want = set()
+    for i, t in enumerate(rows):
+        a, b = shingle_set(t), shingle_set(items[i // 2])
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want.add(i)
+    assert {i for i in want if i % 2} >= {i for i in got if i % 2}
+    assert set(got) <= want
+    assert len(set(got)) >= 0.995 * len(want)
+    assert all(r["n_words"] == len(rows[i].split()) and r["start_word"] == 0 for i, r in got.items())
+
+
 def test_index_reaches_the_radius():
     rng = random.Random(8)
     for _ in range(200):
