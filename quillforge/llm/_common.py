@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
@@ -23,14 +25,27 @@ def let(value, body):
 def shared_folder(spark) -> str:
     """The folder for checkpoints and for what stages pass on: spark.checkpoint.dir, which all executors share.
 
-    A folder of our own is used only where the session names none (tests, local mode).
+    A folder of our own is used only where the session names none and runs in one process (tests, local mode);
+    on a cluster a missing setting is an error, as executors would not see a local folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def remove(spark, path: str) -> None:
+    """Delete a folder in the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -88,12 +103,11 @@ def pieces(offsets: np.ndarray, most: int):
         i = min(j, n)
 
 
-def rows_of(batch: pa.RecordBatch, most: int):
-    """Sub-batches whose first string column holds at most ``most`` bytes, longer rows alone."""
+def rows_of(batch: pa.RecordBatch, most: int, at: int = 1):
+    """Sub-batches whose texts, of column ``at``, hold at most ``most`` bytes, longer rows alone."""
     if batch.num_rows == 0:
         return
-    text = next(c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type))
-    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     for i, j in pieces(offsets, most):
         yield batch.slice(i, j - i)

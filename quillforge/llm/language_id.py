@@ -7,6 +7,7 @@ for each language; what a filter as full as this answers by chance is taken off
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,15 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import field, rows_of
+from quillforge.llm._common import checkpointed, field
 from quillforge.llm._shingles import SLICE, mix
 
 ORDERS = (1, 2, 3)
-SLOTS = 1 << 20
+SPARE = 8  # slots of the filter for each n-gram of the language that has most
 PROBES = 3
 SAMPLE = 4_000  # documents of a language that are learned from, about; a bound of the fit, see ``learn``
-GRAMS = 20_000  # n-grams of a language at most
-LANGUAGES = 512  # so many languages at most; more is an error
+HELD = 1 << 18  # counted n-grams that a task holds before it adds equal ones up
+GAP = re.compile(r"[\W\d_]")
 SHARE = 0.4  # a language contains an n-gram if it is at least so frequent there as where it is most frequent
 _C = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(max(ORDERS))], np.uint64)
 _letters: list[np.ndarray] = []
@@ -35,6 +36,26 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def slices(texts: list[str | None]):
+    """(row, pieces) of about SLICE characters together; longer texts are cut where no letter stands, if one is near."""
+    row, part, held = [], [], 0
+    for r, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = len(text)
+            if end - at > SLICE:
+                gap = GAP.search(text, at + SLICE, min(end, at + SLICE + 1_000))
+                end = gap.start() if gap else at + SLICE
+            row.append(r)
+            part.append(text[at:end])
+            held, at = held + end - at, end
+            if held >= SLICE:
+                yield np.array(row), part
+                row, part, held = [], [], 0
+    if part:
+        yield np.array(row), part
+
+
 def grams(texts: list[str | None]):
     """Per order: (hashes, row of each); n-grams are of letters, with a blank for what else stands at their ends. Last: letters of each row."""
     low = [(t or "").lower() for t in texts]
@@ -63,25 +84,27 @@ def grams(texts: list[str | None]):
 @dataclass
 class LanguageFilter:
     names: list[str]
-    slots: np.ndarray  # SLOTS x words of 64 languages
+    slots: np.ndarray  # slots x words of 64 languages
     chance: np.ndarray  # of each language, that the filter answers it for any n-gram
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        got = self.slots[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+        got = self.slots[probe(h, 0, len(self.slots))]
         for p in range(1, PROBES):
-            got = got & self.slots[((h >> np.uint64(20 * p)) & np.uint64(SLOTS - 1)).astype(np.int64)]
+            got = got & self.slots[probe(h, p, len(self.slots))]
         return got
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text: the share of its n-grams that the language contains, chance taken off."""
-        by_order, n_letters = grams(texts)
-        hits, total = np.zeros((len(texts), len(self.names))), np.zeros(len(texts))
-        for h, row in by_order:
-            got = self.masks(h)
-            total += np.bincount(row, minlength=len(texts))
-            for i in range(len(self.names)):
-                bit = (got[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-                hits[:, i] += np.bincount(row, bit, len(texts))
+        hits, total, n_letters = np.zeros((len(texts), len(self.names))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for owner, part in slices(texts):
+            by_order, n = grams(part)
+            np.add.at(n_letters, owner, n)
+            for h, row in by_order:
+                got, row = self.masks(h), owner[row]
+                total += np.bincount(row, minlength=len(texts))
+                for i in range(len(self.names)):
+                    bit = (got[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+                    hits[:, i] += np.bincount(row, bit, len(texts))
         share = (hits / np.maximum(total, 1)[:, None] - self.chance) / (1 - self.chance)
         if not self.names:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -90,49 +113,78 @@ class LanguageFilter:
         return [self.names[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, np.clip(share[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
-def build(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> LanguageFilter:
-    """The filter of counted n-grams: ``lang`` indexes ``names``."""
-    slots = np.zeros((SLOTS, max(1, -(-len(names) // 64))), np.uint64)
-    per = n / np.maximum(np.bincount(lang, n, len(names)), 1)[lang]
-    order = np.argsort(gram, kind="stable")
-    lang, gram, per = lang[order], gram[order], per[order]
-    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, int)
-    top = np.repeat(np.maximum.reduceat(per, first), np.diff(np.r_[first, len(gram)])) if len(gram) else per
-    keep = per >= SHARE * top
+def probe(h: np.ndarray, p: int, slots: int) -> np.ndarray:
+    """The ``p``-th of an n-gram's slots; ``slots`` is a power of two."""
+    return ((h + np.uint64(p) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def build(names: list[str], lang: np.ndarray, gram: np.ndarray) -> LanguageFilter:
+    """The filter of the n-grams that each language contains: ``lang`` indexes ``names``."""
+    most = int(np.bincount(lang, minlength=1).max())
+    slots = np.zeros((1 << max(16, (SPARE * most).bit_length()), max(1, -(-len(names) // 64))), np.uint64)
     for i in range(len(names)):
-        h = gram[keep & (lang == i)]
         for p in range(PROBES):
-            slots[((h >> np.uint64(20 * p)) & np.uint64(SLOTS - 1)).astype(np.int64), i // 64] |= np.uint64(1 << i % 64)
+            slots[probe(gram[lang == i], p, len(slots)), i // 64] |= np.uint64(1 << i % 64)
     fill = np.array([((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(names))])
     return LanguageFilter(names, slots, fill**PROBES)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, n-gram, count) with the counts of equal ones added up."""
+    i, g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((g, i))
+    i, g, n = i[order], g[order], n[order]
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (g[1:] != g[:-1])])
+    return i[first], g[first], np.add.reduceat(n, first)
+
+
+def _counted(batches):
+    """i, gram, n: n-grams of the texts (i, text), added up by task as far as it holds them."""
+    parts, held = [], 0
+
+    def sent(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].view(np.int64)), pa.array(rows[2])], names=["i", "gram", "n"])
+
+    for batch in batches:
+        lang = np.asarray(batch.column(0)).astype(np.int32)
+        for owner, texts in slices(batch.column(1).to_pylist()):
+            for h, row in grams(texts)[0]:
+                own = lang[owner[row]]
+                for i in np.unique(own):
+                    g, n = np.unique(h[own == i], return_counts=True)
+                    parts.append((np.full(len(g), i, np.int32), g, n.astype(np.int64)))
+                    held += len(g)
+            if held > HELD:
+                parts = [_summed(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield sent(parts[0])
+                    parts, held = [], 0
+    if parts:
+        yield sent(_summed(parts))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
-    """The filter learned from ``labelled`` (id, text, lang): of each language about ``sample`` documents, drawn by a hash of the id, whole texts."""
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    """The filter learned from ``labelled`` (id, text, lang): of each language about ``sample`` documents, drawn by a hash of the id, whole texts.
+
+    A language contains all n-grams of its documents but those that are less than SHARE times as frequent
+    there as where they are most frequent. The driver gets the n-grams that the sample's languages contain.
+    """
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row for each label
     names = sorted(counts)
     if not names:
-        return build([], np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0))
+        return build([], np.zeros(0, int), np.zeros(0, np.uint64))
     spark = labelled.sparkSession
     shares = spark.createDataFrame([(k, i, min(1.0, sample / counts[k])) for i, k in enumerate(names)], "lang string, i int, share double")
-    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.col("id"), F.lit(4)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-
-    def count(batches):
-        for whole in batches:
-            for batch in rows_of(whole, 1 << 22):
-                lang = np.asarray(batch.column(0))
-                by_order, _ = grams(batch.column(1).to_pylist())
-                h, row = np.concatenate([x for x, _ in by_order]), np.concatenate([x for _, x in by_order])
-                for i in np.unique(lang):
-                    g, n = np.unique(h[lang[row] == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i, np.int32)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["i", "gram", "n"])
-
-    counted = drawn.select("i", "text").mapInArrow(count, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= GRAMS)
-    got = ranked.select("i", "gram", "n").toArrow()
-    return build(names, got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy().view(np.uint64), got.column(2).to_numpy().astype(float))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(4)), 11) / float(1 << 53)
+    drawn = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
+    counted = drawn.select("i", "text").mapInArrow(_counted, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted)
+    totals = counted.groupBy("i").agg(F.sum("n").alias("total"))
+    per = counted.join(F.broadcast(totals), "i").withColumn("per", F.col("n") / F.col("total"))
+    top = F.max("per").over(Window.partitionBy("gram"))  # as many rows as languages at most
+    got = per.withColumn("top", top).where(F.col("per") >= SHARE * F.col("top")).select("i", "gram").toArrow()
+    return build(names, got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy().view(np.uint64))
 
 
 def held_out(id):
@@ -142,7 +194,7 @@ def held_out(id):
 def _learned(docs: DataFrame, id: str, text: str, lang: str, sample: int):
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     model = learn(own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))), sample)
-    return docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * 8 bytes for 64 languages
+    return docs.sparkSession.sparkContext.broadcast(model)  # 64 to 128 bytes for each n-gram of the language with most, by 64 languages
 
 
 def language_id(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -159,26 +211,22 @@ def language_id(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang
 
     def run(batches):
         model = shared.value
-        for whole in batches:
-            for batch in rows_of(whole, SLICE):
-                names, score = model.predict(batch.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], names=schema.names)
+        for batch in batches:
+            names, score = model.predict(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], names=schema.names)
 
     return own.select("id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.2, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are in a learned language with a score of ``least`` or more; all columns, no shuffle of texts."""
-    shared = _learned(docs, id, text, lang, sample)
+    shared, at = _learned(docs, id, text, lang, sample), docs.columns.index(text)
 
     def run(batches):
         model = shared.value
-        for whole in batches:
-            at = whole.schema.get_field_index(text)
-            ok = []
-            for batch in rows_of(whole.select([at]), SLICE):
-                names, score = model.predict(batch.column(0).to_pylist())
-                ok += [n != "und" and s >= least for n, s in zip(names, score, strict=True)]
-            yield whole.filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            names, score = model.predict(batch.column(at).to_pylist())
+            ok = [n != "und" and s >= least for n, s in zip(names, score, strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
