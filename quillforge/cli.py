@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("inputs", nargs=inputs)
         if output:
-            s.add_argument("--out", required=True)
+            s.add_argument("--out", default="-")
         for f in flags:
             s.add_argument(f"--{f}", action="store_true")
         for k, v in options.items():
@@ -70,7 +70,10 @@ def _topic_model(spark, a: argparse.Namespace) -> None:
     two = a.program == "slda"
     if a.train or a.test:
         rows = L.sentence_lines(L.read_lines(spark, *a.inputs))
-        toks = topics.token_table(rows, sent="sentno" if two else None)
+        if two:
+            toks = topics.token_table(rows, sent="sentno")
+        else:  # every line is a document, whatever its key
+            toks = topics.token_table(rows.withColumn("docno", F.concat_ws(" ", "key", "file", "line_id")))
     if a.train:
         start = topics.slda(toks, a.ntopic, a.nstopic, alpha=a.alpha, beta=a.beta, delta=a.delta, seed=a.seed) if two else topics.lda(toks, a.ntopic, alpha=a.alpha, beta=a.beta, seed=a.seed)
         m = topics.train(start, a.niter, report=lambda i, p: print(i, p), interval=a.interval)
@@ -156,7 +159,9 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif a.program == "prettyprint-cluster":
         w = T.words("text")
         rows = lines.select(F.get(w, F.lit(0)).alias("cluster"), F.get(w, F.lit(1)).alias("item"), F.get(w, F.lit(2)).cast("double").alias("score"), F.col("line_id").alias("rank"))
-        L.write_lines(report.pretty_clusters(rows).withColumn("o", F.struct("block", "rank")), a.out, order="o")
+        pretty = report.pretty_clusters(rows)
+        gaps = pretty.groupBy("block").agg((F.max("rank") + 1).alias("rank")).withColumn("line", F.lit(""))  # a blank line behind each block
+        L.write_lines(pretty.unionByName(gaps).withColumn("o", F.struct("block", "rank")), a.out, order="o")
     return 0
 
 

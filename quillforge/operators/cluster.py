@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillforge.storage import checkpointed, few, release
+
 METRICS = ("cosine", "l1", "l2")
 
 
@@ -35,7 +37,9 @@ def distances(e: DataFrame, centroids: DataFrame, metric: str = "cosine") -> Dat
     own = {"cosine": F.lit(0.0), "l1": F.abs(x), "l2": x * x}[metric]
     rows = e.groupBy("row").agg(F.sum(own).alias("own"))
     ks = centroids.groupBy("k").agg(F.sum({"cosine": F.lit(0.0), "l1": F.abs(F.col("w")), "l2": F.col("w") * F.col("w")}[metric]).alias("k_own"))
-    dots = e.join(centroids.select("k", "id", F.col("w").alias("cw")), "id").groupBy("row", "k").agg(F.sum(shared).alias("dot"))
+    features = centroids.select("k", "id", F.col("w").alias("cw"))
+    features = F.broadcast(features) if few(features) else features  # a dense vector has few ids, each of them in all rows
+    dots = e.join(features, "id").groupBy("row", "k").agg(F.sum(shared).alias("dot"))
     # as many rows as instances times clusters, which is what an assignment looks at
     all_pairs = rows.crossJoin(F.broadcast(ks)).join(dots, ["row", "k"], "left")
     value = F.col("own") + F.col("k_own") + F.coalesce("dot", F.lit(0.0))
@@ -74,21 +78,24 @@ def kmeans(e: DataFrame, k: int, *, metric: str = "cosine", epsilon: float = 1e-
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    e = (l2_normalized(e) if metric == "cosine" else e).persist()
+    e = checkpointed(l2_normalized(e) if metric == "cosine" else e)
     if seeds is None:
         drawn = e.select("row").distinct().orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(k).collect()
         pairs = e.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(drawn)], e.select("row").schema.add("k", "int"))
         seeds = e.join(F.broadcast(pairs), "row").select("k", "id", "w")
-    centroids, before, rounds = seeds.persist(), None, 0
+    centroids, before, rounds = checkpointed(seeds), None, 0
     while True:
-        labels = assign(e, centroids, metric).persist()
+        labels = checkpointed(assign(e, centroids, metric))
         error = labels.agg(F.coalesce(F.sum("dist"), F.lit(0.0))).first()[0]
         rounds += 1
         if before is not None and 0 <= before - error < epsilon or most is not None and rounds >= most:
+            release(e)
             return labels, centroids
         before = error
         new = means(e, labels, metric, centroids)
         if use_medoids:
             new = medoids(e, labels, new, metric)
-        sc = e.sparkSession.sparkContext
-        centroids = new.checkpoint() if sc.getCheckpointDir() else new.persist()
+        new = checkpointed(new)
+        release(labels)
+        release(centroids)
+        centroids = new

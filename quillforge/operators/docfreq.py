@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.functions.columns import let
+from quillforge.operators.order import numbered
 
 EOL = "#eol"
 
@@ -20,13 +21,8 @@ def document_frequency(token_lines: DataFrame, toks: str = "toks", *, eol: str =
 
 
 def term_ids(df_table: DataFrame) -> DataFrame:
-    """term, df, id: ids from 0 in the order of the terms' bytes. Two levels: no task sorts the whole vocabulary."""
-    parts = df_table.withColumn("p", F.substring("term", 1, 2))
-    sums = parts.groupBy("p").count()
-    before = F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # a row per two-letter prefix
-    sums = sums.select("p", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("p").orderBy("term"))
-    return parts.join(sums, "p").select("term", "df", (F.col("before") + own - 1).alias("id"))
+    """term, df, id: ids from 0 in the order of the terms' bytes."""
+    return numbered(df_table.select("term", "df"), "term", name="id")
 
 
 def normalized(v, norm: str | None):
@@ -59,7 +55,7 @@ def idf_vectors(token_lines: DataFrame, df_table: DataFrame, *, row: str = "line
     norms = {None: F.max(F.lit(1.0)), "none": F.max(F.lit(1.0)), "l1": F.sum("w"), "l2": F.sqrt(F.sum(F.col("w") * F.col("w"))), "inf": F.max("w")}
     if norm not in norms:
         raise ValueError(f"no such normalization: {norm}")
-    v = entries.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("v"), norms[norm].alias("one"))
+    v = entries.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("v"), norms[norm].alias("one"))
     out = token_lines.select(row).join(v, row, "left")
     empty = F.array().cast("array<struct<id:bigint,w:double>>")
     scaled = F.transform("v", lambda e: F.struct(e["id"].alias("id"), F.when(F.col("one") != 0, e["w"] / F.col("one")).otherwise(e["w"]).alias("w")))

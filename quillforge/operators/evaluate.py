@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillforge.functions.columns import let
 from quillforge.functions.text import ascii_lower, words
 
 TOTALS = ("w_matched", "w_relevant", "w_retrieved", "b_matched", "b_relevant", "b_retrieved")
 
 
 def boundaries(text):
-    """Offsets in bytes without blanks after each word, 0 first; a blank line has [0, 0]."""
-    w = words(text)
-    sums = F.aggregate(w, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x))))
-    return F.when(F.size(w) == 0, F.array(F.lit(0), F.lit(0))).otherwise(sums)
+    """Offsets in characters without blanks after each word, 0 first; a blank line has [0, 0]. Linear in the line."""
+    line = F.array_join(words(text), " ")
+    blanks = lambda chars: F.array_remove(F.transform(chars, lambda c, i: F.when(c == " ", i).otherwise(-1)), -1)
+    inner = F.transform(blanks(F.split(line, "")), lambda p, k: p - k)
+    return F.when(line == "", F.array(F.lit(0), F.lit(0))).otherwise(let(inner, lambda b: F.concat(F.array(F.lit(0)), b, F.array(F.length(line) - F.size(b)))))
 
 
 def spans(b):
-    return F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.struct(F.get(b, i - 1).alias("s"), F.get(b, i).alias("e")))
+    """Words as longs, begin and end together: arrays of these meet by hashes, arrays of structs would not."""
+    return F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.get(b, i - 1).cast("long") * (1 << 32) + F.get(b, i))
 
 
 def compare_lines(pairs: DataFrame, *, ignore_case: bool = False, truth: str = "truth", test: str = "test") -> DataFrame:
@@ -46,23 +49,30 @@ def totals(compared: DataFrame, *by: str) -> DataFrame:
     return compared.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS])
 
 
+def _divided(a, b):
+    """a / b, and as floating-point numbers have it where b is 0."""
+    return F.when(b != 0, a / b).otherwise(F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan")))
+
+
 def _prf(m, rel, ret):
-    p = F.when(ret != 0, m / ret)
-    r = F.when(rel != 0, m / rel)
-    return p, r, F.when((p + r) != 0, 2 * p * r / (p + r))
+    p, r = _divided(m, ret), _divided(m, rel)
+    return p, r, _divided(2 * p * r, p + r)
 
 
 def scores(sums: DataFrame, *, compat: bool = True) -> DataFrame:
-    """``sums`` with word and boundary precision, recall and F; null where undefined. ``compat`` takes a further 2 off each boundary sum of a file."""
-    off = 2 if compat else 0
+    """``sums`` with word and boundary precision, recall and F, infinite or NaN over sums of 0. ``compat`` takes a further 2 off a file's matched boundaries."""
     wp, wr, wf = _prf(F.col("w_matched"), F.col("w_relevant"), F.col("w_retrieved"))
-    bp, br, bf = _prf(F.col("b_matched") - off, F.col("b_relevant") - off, F.col("b_retrieved") - off)
+    bp, br, bf = _prf(F.col("b_matched") - (2 if compat else 0), F.col("b_relevant"), F.col("b_retrieved"))
     return sums.withColumns({"w_p": wp, "w_r": wr, "w_f": wf, "b_p": bp, "b_r": br, "b_f": bf})
 
 
 def report(scored: DataFrame, name: str = "file") -> DataFrame:
     """One ``report`` line per test file."""
-    pc = lambda c: F.format_string("%6.2f", F.coalesce(F.col(c) * 100, F.lit(float("nan"))))
+
+    def pc(c):
+        odd = F.when(F.isnan(c), "   nan").when(F.col(c) == float("inf"), "   inf").when(F.col(c) == float("-inf"), "  -inf")
+        return odd.otherwise(F.format_string("%6.2f", F.col(c) * 100))
+
     return scored.select(F.concat_ws(" ", F.concat(F.col(name), F.lit("\t[W]")), pc("w_p"), pc("w_r"), pc("w_f"), F.lit("[B]"), pc("b_p"), pc("b_r"), pc("b_f")).alias("report"))
 
 

@@ -11,6 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillforge.functions.columns import general
+from quillforge.operators.order import last_known, numbered
+from quillforge.storage import checkpointed
+
 
 @dataclass
 class Index:
@@ -34,8 +38,12 @@ class Index:
 
 
 def build_index(docs: DataFrame, facets: DataFrame | None = None, *, docno: str = "docno", toks: str = "toks") -> Index:
-    """The index of token lines; ``facets`` has docno and facet, one row per occurrence."""
-    postings = docs.select(F.col(docno).alias("docno"), F.explode(toks).alias("term")).groupBy("term", "docno").agg(F.count("*").alias("tf"))
+    """The index of token lines; ``facets`` has docno and facet, one row per occurrence.
+
+    Postings are made once and checkpointed, as terms and document lengths are sums of them.
+    """
+    postings = docs.select(F.col(docno).alias("docno"), F.explode_outer(toks).alias("term")).where("term is not null").groupBy("term", "docno").agg(F.count("*").alias("tf"))
+    postings = checkpointed(postings)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
     sizes = postings.groupBy("docno").agg(F.sum("tf").alias("doclen"), F.sum(F.pow(1 + F.log("tf"), 2)).alias("docnorm"))
     if facets is None:
@@ -49,8 +57,12 @@ def build_index(docs: DataFrame, facets: DataFrame | None = None, *, docno: str
 def attach_facets(lines: DataFrame, *, order: str = "line_id", key: str = "key", toks: str = "toks", within: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(docs, facets) of lines in which ``name:facet`` lines belong to the document line before them."""
     is_facet = F.col(key).endswith(":facet")
-    w = Window.partitionBy(*([within] if within else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("docno", F.last(F.when(~is_facet, F.col(key)), ignorenulls=True).over(w))
+    own = F.when(~is_facet, F.col(key))
+    if within:
+        w = Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = lines.withColumn("docno", F.last(own, ignorenulls=True).over(w))
+    else:
+        rows = last_known(numbered(lines, order, name="_at"), "_at", own, "docno")
     docs = rows.where(~is_facet).select("docno", F.col(toks).alias("toks"))
     return docs, rows.where(is_facet & F.col("docno").isNotNull()).select("docno", F.explode(toks).alias("facet"))
 
@@ -124,6 +136,6 @@ def rank_facets(index: Index, retrieved: DataFrame, method: str = "count", *, be
 
 
 def trec_run(ranked: DataFrame, id: str, tag: str) -> DataFrame:
-    """``line``: topic Q0 id rank score tag [count]."""
-    n = [F.col("n").cast("string")] if "n" in ranked.columns else []
-    return ranked.select(F.concat_ws(" ", F.col("topic"), F.lit("Q0"), F.col(id), F.col("rank"), F.format_string("%g", "score"), F.lit(tag), *n).alias("line"))
+    """``line``: topic Q0 id rank score tag [count]. Facets counted have no count behind, as it is their score."""
+    n = [F.col("n").cast("string")] if "n" in ranked.columns and not tag.endswith(":count") else []
+    return ranked.select(F.concat_ws(" ", F.col("topic"), F.lit("Q0"), F.col(id), F.col("rank"), general("score"), F.lit(tag), *n).alias("line"))

@@ -2,8 +2,9 @@
 
 The corpus is a table of distinct lines with weights. A line is a framed string, each token between
 \\u0001 and \\u0002, so merging a pair is one literal ``replace``: left to right, without overlap. Counts,
-scores and the choice of pairs are one aggregate and a top-k; the loop carries only the chosen pairs.
-Words are identified by their text: occurrences of a merged word and of an equal base token unite.
+scores and the choice of pairs are one aggregate and a top-k; the driver has only the chosen pairs. Counts
+are made once: a round recounts the lines that hold a chosen pair, before with negative weights and after,
+and adds that up with the counts so far. Words are identified by their text: occurrences of a merged word and of an equal base token unite.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillforge.storage import checkpointed
+
 OPEN, CLOSE = "\u0001", "\u0002"
 #: Tokens that are never merged by the ubt and descent objectives.
 SPECIAL = ["！", "，", "（", "）", "：", "？", "︰", "、", "。", "「", "」"]
@@ -25,34 +28,51 @@ def frame(toks):
 
 
 def framed_lines(token_lines: DataFrame, toks: str = "toks") -> DataFrame:
-    """line, weight: distinct framed lines, equal ones counted together."""
-    return token_lines.select(frame(F.col(toks)).alias("line")).groupBy("line").agg(F.count("*").alias("weight"))
+    """line, weight, toks: distinct framed lines, equal ones counted together, and their tokens."""
+    lines = token_lines.select(F.col(toks).alias("toks")).groupBy("toks").agg(F.count("*").alias("weight"))
+    return lines.select(frame(F.col("toks")).alias("line"), "weight", "toks")
+
+
+def _split(line):
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(line, F.lit(2), F.length(line) - 2), CLOSE + OPEN))
 
 
 def unframed(line):
     """The tokens of a framed line, joined by blanks."""
-    return F.array_join(F.regexp_extract_all(line, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)), " ")
+    return F.replace(F.substr(line, F.lit(2), F.length(line) - 2), F.lit(CLOSE + OPEN), F.lit(" "))
+
+
+def _toks(lines: DataFrame):
+    """weight, toks."""
+    return lines.select("weight", F.col("toks") if "toks" in lines.columns else _split(F.col("line")).alias("toks"))
 
 
-def _toks(lines: DataFrame) -> DataFrame:
-    return lines.select("weight", F.regexp_extract_all("line", F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)).alias("toks"))
+# The generators below are outer ones: of others the optimiser derives a filter, which repeats the tokenization under them.
 
 
 def unigram_counts(lines: DataFrame) -> DataFrame:
     """tok, f."""
-    return _toks(lines).select("weight", F.explode("toks").alias("tok")).groupBy("tok").agg(F.sum("weight").alias("f"))
+    return _toks(lines).select("weight", F.explode_outer("toks").alias("tok")).where("tok is not null").groupBy("tok").agg(F.sum("weight").alias("f"))
 
 
 def bigram_counts(lines: DataFrame) -> DataFrame:
     """x, y, fxy of neighbours within lines."""
     pair = F.transform(F.sequence(F.lit(1), F.size("toks") - 1), lambda i: F.struct(F.get("toks", i - 1).alias("x"), F.get("toks", i).alias("y")))
-    pairs = _toks(lines).where(F.size("toks") > 1).select("weight", F.explode(pair).alias("p"))
+    pairs = _toks(lines).select("weight", F.explode_outer(F.when(F.size("toks") > 1, pair)).alias("p")).where("p is not null")
     return pairs.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.sum("weight").alias("fxy"))
 
 
+def weight_sum(lines: DataFrame) -> int:
+    return lines.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+
+
+def _entropy_sums() -> list:
+    return [F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("f") * F.log("f")), F.lit(0.0)).alias("j")]
+
+
 def corpus_entropy(unigrams: DataFrame) -> DataFrame:
     """n, j, h: tokens, sum of f ln f, and entropy ln n - j / n. One row."""
-    sums = unigrams.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("f") * F.log("f")), F.lit(0.0)).alias("j"))
+    sums = unigrams.agg(*_entropy_sums())
     return sums.select("n", "j", F.when(F.col("n") > 0, F.log("n") - F.col("j") / F.col("n")).alias("h"))
 
 
@@ -119,23 +139,25 @@ def score_sql(o: Options, *, div: str = "div") -> tuple[str, str, str]:
     return counts, keep, score
 
 
-def candidates(lines: DataFrame, o: Options, sizes: DataFrame | None = None, merges: int = 0) -> DataFrame:
-    """x, y, f_xy, score of every pair that may be merged; ``sizes`` has tok, size (base tokens) of merged words."""
-    uni = unigram_counts(lines).persist()
+def candidates(lines: DataFrame, o: Options, sizes: DataFrame | None = None, merges: int = 0, *, uni: DataFrame | None = None, pairs: DataFrame | None = None, n_lines: int | None = None) -> DataFrame:
+    """x, y, f_xy, score of every pair that may be merged; ``sizes`` has tok, size (base tokens) of merged words.
+
+    ``uni`` (tok, f), ``pairs`` (x, y, fxy) and ``n_lines`` are the counts of ``lines``, where they are known.
+    """
+    uni = unigram_counts(lines) if uni is None else uni
+    pairs = bigram_counts(lines) if pairs is None else pairs
     spark = lines.sparkSession
-    row = corpus_entropy(uni).first()
-    n, j = row["n"], row["j"]
-    types = uni.count()
+    row = uni.agg(*_entropy_sums(), F.count("*").alias("types")).first()
+    n, j, types = row["n"], row["j"], row["types"]
     if o.method == "descent":  # ends of lines count, and one before the first
-        n += lines.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] + 1
+        n += (weight_sum(lines) if n_lines is None else n_lines) + 1
     n = n or 1  # of an empty corpus; there are no pairs then
     first_n = o.first_n or n
-    pairs = bigram_counts(lines)
     pairs = pairs.join(uni.select(F.col("tok").alias("x"), F.col("f").alias("fx0")), "x").join(uni.select(F.col("tok").alias("y"), F.col("f").alias("fy0")), "y")
     if sizes is None:
         sizes = spark.createDataFrame([], "tok string, size long")
-    for k in ("x", "y"):
-        pairs = pairs.join(F.broadcast(sizes.select(F.col("tok").alias(k), F.col("size").alias(f"s{k}"))), k, "left")  # one row per merge made
+    for k in ("x", "y"):  # a row per merge made, which the driver sent: as small as its list of merges
+        pairs = pairs.join(F.broadcast(sizes.select(F.col("tok").alias(k), F.col("size").alias(f"s{k}"))), k, "left")
     base = pairs.select("x", "y", "fx0", "fy0", F.col("fxy").alias("fxy0"), F.coalesce("sx", F.lit(1)).alias("sx"), F.coalesce("sy", F.lit(1)).alias("sy"))
     base = base.select("*", F.lit(n).cast("long").alias("n"), F.lit(float(j)).alias("j"), F.lit(first_n).cast("long").alias("first_n"), F.lit(RESERVED + types + merges).cast("long").alias("w"))
     counts, keep, score = score_sql(o)
@@ -153,12 +175,22 @@ def best(cands: DataFrame, k: int) -> DataFrame:
     return cands.orderBy(F.round("score", 9), "x", "y").limit(k)
 
 
-def merge_pairs(lines: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Lines with each pair merged in turn; lines that become equal unite."""
-    line = F.col("line")
+def merged(line, pairs: list[tuple[str, str]]):
     for x, y in pairs:
         line = F.replace(line, F.lit(f"{OPEN}{x}{CLOSE}{OPEN}{y}{CLOSE}"), F.lit(f"{OPEN}{x}{y}{CLOSE}"))
-    return lines.select(line.alias("line"), "weight")
+    return line
+
+
+def merge_pairs(lines: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Lines with each pair merged in turn; other columns but ``toks`` stay."""
+    return lines.withColumn("line", merged(F.col("line"), pairs)).drop("toks")
+
+
+def changed_lines(lines: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """line, weight: the lines that merging ``pairs`` changes, as they become, and as they were with negative weights."""
+    line, new = F.col("line"), merged(F.col("line"), pairs)
+    rows = lines.where(line != new).select(F.inline(F.array(F.struct(new.alias("line"), F.col("weight")), F.struct(line, (-F.col("weight")).alias("weight")))))
+    return rows
 
 
 @dataclass
@@ -167,18 +199,24 @@ class Segmentation:
     merges: list[dict]  # iteration, rank, x, y, f_xy, score
 
 
-def segment(token_lines: DataFrame, o: Options, *, toks: str = "toks", keep_ids: bool = False, snapshot=None, every: int = 100, checkpoint_every: int = 10) -> Segmentation:
+def _added(counts: DataFrame, change: DataFrame, n: str) -> DataFrame:
+    keys = [c for c in counts.columns if c != n]
+    return counts.unionByName(change).groupBy(*keys).agg(F.sum(n).alias(n)).where(F.col(n) != 0)
+
+
+def segment(token_lines: DataFrame, o: Options, *, toks: str = "toks", keep_ids: bool = False, snapshot=None, every: int = 100, checkpoint_every: int = 5) -> Segmentation:
     """Merges pairs until the method's own end: iterations, ratio, no candidates or (descent) a score over the threshold.
 
-    ``snapshot(iteration, lines)`` is called every ``every`` iterations. Lines are persisted from one
-    iteration to the next, and checkpointed now and then to keep plans short.
+    ``snapshot(iteration, lines)`` is called every ``every`` iterations. Lines and counts are persisted from
+    one iteration to the next and checkpointed now and then, so plans stay short; what is replaced is freed.
     """
     lines = framed_lines(token_lines, toks) if not keep_ids else token_lines.select("*", frame(F.col(toks)).alias("line"), F.lit(1).cast("long").alias("weight"))
-    lines = lines.persist()
+    state = {"lines": lines.persist()}
     spark = lines.sparkSession
-    total = unigram_counts(lines).agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    if o.method == "descent":
-        total += lines.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] + 1
+    state["uni"], state["pairs"] = unigram_counts(state["lines"]).persist(), bigram_counts(state["lines"]).persist()
+    ends = weight_sum(state["lines"])
+    tokens = lambda: state["uni"].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] + (ends + 1 if o.method == "descent" else 0)
+    total = tokens()
     o = Options(**{**o.__dict__, "first_n": int(total)})
     sizes: dict[str, int] = {}
     merges: list[dict] = []
@@ -191,35 +229,41 @@ def segment(token_lines: DataFrame, o: Options, *, toks: str = "toks", keep_ids:
             break
         iteration += 1
         table = spark.createDataFrame([(t, s) for t, s in sizes.items()], "tok string, size long") if sizes else None
-        rows = best(candidates(lines, o, table, len(merges)), o.top).collect()  # top pairs alone
+        found = candidates(state["lines"], o, table, len(merges), uni=state["uni"], pairs=state["pairs"], n_lines=ends)
+        if o.method == "descent":
+            long = found.where(F.col("sx") + F.col("sy") > o.longest).select("x", "y").limit(1).collect() if max(sizes.values(), default=1) * 2 > o.longest else []
+            if long:
+                raise ValueError(f"merged word of more than {o.longest} base tokens: {long[0]['x']}{long[0]['y']}")
+        rows = best(found, o.top).collect()  # top pairs alone
         if not rows:
             break
         for rank, r in enumerate(rows, 1):
-            size = r["sx"] + r["sy"]
-            if o.method == "descent" and size > o.longest:
-                raise ValueError(f"merged word of more than {o.longest} base tokens: {r['x']}{r['y']}")
-            sizes.setdefault(r["x"] + r["y"], size)
+            sizes.setdefault(r["x"] + r["y"], r["sx"] + r["sy"])
             merges.append({"iteration": iteration, "rank": rank, "x": r["x"], "y": r["y"], "f_xy": r["f_xy"], "score": r["score"]})
             if o.method == "descent" and r["score"] > o.threshold:
                 quit = True
-        merged = merge_pairs(lines, [(r["x"], r["y"]) for r in rows])
+        pairs = [(r["x"], r["y"]) for r in rows]
+        change = changed_lines(state["lines"], pairs)
+        after = {
+            "lines": merge_pairs(state["lines"], pairs),
+            "uni": _added(state["uni"], unigram_counts(change), "f"),
+            "pairs": _added(state["pairs"], bigram_counts(change), "fxy"),
+        }
         if iteration % checkpoint_every == 0:
-            if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None):
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-            if spark.sparkContext.getCheckpointDir() is not None:
-                merged = merged.checkpoint()
-        merged = merged.persist()
+            after = {k: checkpointed(v) for k, v in after.items()}
+        after = {k: v.persist() for k, v in after.items()}
+        for v in after.values():
+            v.count()
+        for v in state.values():
+            v.unpersist()
+        state = after
         if o.ratio > 0:
-            now = unigram_counts(merged).agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-            if o.method == "descent":
-                now += merged.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] + 1
-        else:
-            merged.count()
-        lines.unpersist()
-        lines = merged
+            now = tokens()
         if snapshot is not None and every > 0 and iteration % every == 0:
-            snapshot(iteration, lines)
-    return Segmentation(lines, merges)
+            snapshot(iteration, state["lines"])
+    state["uni"].unpersist()
+    state["pairs"].unpersist()
+    return Segmentation(state["lines"], merges)
 
 
 def merges_table(s: Segmentation, spark) -> DataFrame:

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.operators.order import numbered
+from quillforge.storage import checkpointed, release
+
 MOST_CELLS = 4_000_000  # of a matrix that is broadcast
 
 
@@ -182,19 +185,19 @@ def _sentence_sweep(m: Model) -> DataFrame:
 
 def train(m: Model, sweeps: int = 1000, *, report=None, interval: int = 1) -> Model:
     """``sweeps`` Gibbs sweeps; ``report(sweep, perplexity)`` every ``interval``."""
-    w_beta = vocabulary(m) * m.beta
-    columns = m.tokens.columns
-    sc = m.tokens.sparkSession.sparkContext
+    w_beta, columns, first = vocabulary(m) * m.beta, m.tokens.columns, True
     for _ in range(sweeps):
-        swept = _word_sweep(m, w_beta).persist()
+        swept = checkpointed(_word_sweep(m, w_beta))
         if report is not None and m.sweeps % interval == 0 and not m.s:
             report(m.sweeps, swept.agg(F.exp(-F.avg("lp"))).first()[0])
         tokens = swept.select(*columns)
+        done = [swept] if m.s else []
         if m.s:
-            tokens = _sentence_sweep(replace(m, tokens=tokens.persist()))
-        tokens = tokens.checkpoint() if sc.getCheckpointDir() else tokens.persist()
-        tokens.count()
-        swept.unpersist()
+            tokens = checkpointed(_sentence_sweep(replace(m, tokens=tokens)))
+        done += [] if first else [kept]
+        kept, first = tokens if m.s else swept, False
+        for old in done:
+            release(old)
         m = replace(m, tokens=tokens, sweeps=m.sweeps + 1)
         if report is not None and m.s and m.sweeps % interval == 0:
             report(m.sweeps, perplexity(m))
@@ -266,8 +269,18 @@ def _top(df: DataFrame, by: str, item: str, n: int) -> DataFrame:
 
 
 def word_clusters(m: Model, n: int = 100) -> DataFrame:
-    """cluster, item, score, rank: the best words of each topic."""
-    return _top(phi(m), "z", "word", n)
+    """cluster, item, score, rank: the best words of each topic.
+
+    Of words without a token in a topic all have one probability, so the first ``n`` words of all stand in
+    for them: no table of all words and topics is made.
+    """
+    c = _counted(m)
+    w = vocabulary(m)
+    n_z = c.groupBy("z").agg(F.count("*").alias("n_z"))
+    n_zw = c.groupBy("z", "word").agg(F.count("*").alias("n"))
+    some = _grid(c.sparkSession, c.select("word").distinct().orderBy("word").limit(n), m.t, "z").withColumn("n", F.lit(0).cast("long"))
+    rows = n_zw.unionByName(some).groupBy("z", "word").agg(F.sum("n").alias("n")).join(F.broadcast(n_z), "z", "left")
+    return _top(rows.select("z", "word", ((F.col("n") + m.beta) / (F.coalesce("n_z", F.lit(0)) + w * m.beta)).alias("p")), "z", "word", n)
 
 
 def topic_clusters(m: Model, n: int = 100) -> DataFrame:
@@ -401,11 +414,14 @@ def cohesion(m: Model, queries: DataFrame, n: int = 100, *, sentences: DataFrame
     return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def write(m: Model, path: str) -> None:
-    """Tokens and a row of parameters, as Parquet."""
-    m.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+def write(m: Model, path: str, *, force: bool = True) -> None:
+    """Tokens, their words and documents by id, and a row of parameters, as Parquet; an existing model is an error unless ``force``."""
+    mode = "overwrite" if force else "errorifexists"
+    m.tokens.write.mode(mode).parquet(f"{path}/tokens")
+    numbered(m.tokens.groupBy("word").agg(F.count("*").alias("n")), "word", name="id").write.mode(mode).parquet(f"{path}/vocabulary")
+    numbered(m.tokens.groupBy("doc").agg(F.count("*").alias("n")), "doc", name="id").write.mode(mode).parquet(f"{path}/documents")
     row = [(m.t, m.alpha, m.beta, m.s, m.delta, m.seed, m.sweeps)]
-    m.tokens.sparkSession.createDataFrame(row, "t int, alpha double, beta double, s int, delta double, seed int, sweeps int").write.mode("overwrite").parquet(f"{path}/parameters")
+    m.tokens.sparkSession.createDataFrame(row, "t int, alpha double, beta double, s int, delta double, seed int, sweeps int").write.mode(mode).parquet(f"{path}/parameters")
 
 
 def read(spark, path: str) -> Model:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from quillforge.operators import cluster, docfreq, evaluate, merge, rank, report
 from quillforge.operators.segment import Options
 from quillforge.plans import oracles as sql
 from quillforge.sources import lines as L
+from quillforge.storage import checkpointed, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +48,8 @@ def _line_tokens(spark, sf_dir: str) -> DataFrame:
 
 
 def _word_lines(spark, sf_dir: str) -> DataFrame:
-    return _line_tokens(spark, sf_dir).where(F.size("toks") > 0)
+    lines = _lines(spark, sf_dir).where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))  # what has a token, told without tokenizing
+    return lines.select("doc_id", "line_id", T.tokens("text").alias("toks"))
 
 
 def _counts(toks: DataFrame) -> DataFrame:
@@ -78,6 +82,17 @@ def tokenize_char(spark, sf_dir):
     return _counts(_lines(spark, sf_dir).select(T.tokens("text", "char").alias("toks")))
 
 
+@query(sql.TOKENIZE_BYPASS)
+def tokenize_bypass(spark, sf_dir):
+    return T.tokenize(_lines(spark, sf_dir), bypass=True).select("doc_id", "line_id", F.get("toks", F.lit(0)).alias("tok"))
+
+
+@query(sql.WORD_CASES)
+def strip_fields(spark, sf_dir):
+    text = F.col("text")
+    return _lines(spark, sf_dir).select("doc_id", "line_id", T.strip_after(text, ".").alias("after"), T.strip_before(text, ".").alias("before"))
+
+
 @query()
 def stem_vocab(spark, sf_dir):
     return _counts(_line_tokens(spark, sf_dir)).select("tok", "n", stem_word("tok").alias("stem"))
@@ -112,13 +127,14 @@ METHODS = {
     "ubt_top_pmi": Options("ubt", pmi=True),
     "descent_top": Options("descent"),
     "descent_top_x2": Options("descent", squared_penalty=True),
+    "descent_top_dir": Options("descent", direction=0.5),
     "descent_rule": Options("descent", linguistic_rule=True),
 }
 
 
 def _scored(o: Options):
     def run(spark, sf_dir):
-        lines = segment.framed_lines(_word_lines(spark, sf_dir)).persist()
+        lines = checkpointed(segment.framed_lines(_word_lines(spark, sf_dir)))
         return segment.candidates(lines, o).select("x", "y", "f_xy", F.round("score", 5).alias("score"))
 
     return run
@@ -144,6 +160,22 @@ for _m in ("glue", "ubt", "descent"):
     query(sql.segmentation(_o, 3, "merges"), f"{_m}_merges_3")(_segmented(_o, "merges"))
 
 
+for _name, _o, _n in (
+    ("glue_top2", Options("glue", iterations=3, top=2), 3),
+    ("descent_top3", Options("descent", iterations=2, top=3, threshold=1e9), 2),
+    ("ubt_ratio", Options("ubt", ratio=0.995), 4),
+    ("descent_threshold", Options("descent", iterations=3, threshold=-1e12), 2),
+):
+    query(sql.segmentation(_o, _n, "merges"), f"{_name}_merges")(_segmented(_o, "merges"))
+
+
+@query(sql.SELF_MERGE)
+def self_merge(spark, sf_dir):
+    chars = F.filter(F.split("text", ""), lambda c: c != " ")
+    lines = _table(spark, sf_dir, "benchmark").select("item_id", segment.frame(chars).alias("line"))
+    return segment.merge_pairs(lines, [("e", "e")]).select("item_id", segment.unframed(F.col("line")).alias("line"))
+
+
 def _segment_pairs(spark, sf_dir):
     """Lines against themselves with every third blank left out."""
     w = T.words("text")
@@ -156,6 +188,27 @@ def eval_lines(spark, sf_dir):
     return evaluate.compare_lines(_segment_pairs(spark, sf_dir)).select("doc_id", "line_id", *evaluate.TOTALS)
 
 
+@query(sql.EVAL_NOCASE)
+def eval_nocase(spark, sf_dir):
+    """Every second document's test in capitals, first with case, then without; lines of other content are left out."""
+    pairs = _segment_pairs(spark, sf_dir)
+    upper = F.translate("test", T.LOWER, T.UPPER)
+    even = evaluate.compare_lines(pairs.where("doc_id % 2 = 0").withColumn("test", upper), ignore_case=True)
+    odd = evaluate.compare_lines(pairs.where("doc_id % 2 = 1").withColumn("test", F.translate("test", T.UPPER, T.LOWER)))
+    return even.unionByName(odd).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in evaluate.TOTALS])
+
+
+@query(sql.EVAL_SCORES)
+def eval_joined(spark, sf_dir):
+    """The scores by the two files' lines joined, as the program reads them."""
+    pairs = _segment_pairs(spark, sf_dir).withColumn("id", F.col("doc_id") * (1 << 31) + F.col("line_id"))
+    file = F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string"))
+    both = L.zip_lines(pairs.select("id", F.col("truth").alias("text")), pairs.select("id", F.col("test").alias("text")), "id")
+    both = both.withColumn("doc_id", F.shiftright("id", 31)).withColumn("file", file)
+    s = evaluate.scores(evaluate.totals(evaluate.compare_lines(both), "file"))
+    return s.select("file", *evaluate.TOTALS, *[F.round(c, 6).alias(c) for c in ("w_p", "w_r", "w_f", "b_p", "b_r", "b_f")])
+
+
 @query(sql.EVAL_SCORES)
 def eval_scores(spark, sf_dir):
     pairs = _segment_pairs(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")))
@@ -174,6 +227,19 @@ def doc_freq(spark, sf_dir):
     return docfreq.document_frequency(_line_tokens(spark, sf_dir))
 
 
+@query(sql.DOC_FREQ_REST)
+def doc_freq_rest(spark, sf_dir):
+    """Without the first token of each line."""
+    return docfreq.document_frequency(_line_tokens(spark, sf_dir), drop_first=True)
+
+
+@query(sql.DF_TABLE)
+def df_lines(spark, sf_dir):
+    """Document frequencies through their line format and back."""
+    df = docfreq.document_frequency(_line_tokens(spark, sf_dir))
+    return L.df_table(df.select(F.concat_ws(" ", "term", "df").alias("text")))
+
+
 @query(sql.TERM_IDS)
 def term_ids(spark, sf_dir):
     return docfreq.term_ids(docfreq.document_frequency(_line_tokens(spark, sf_dir)))
@@ -200,6 +266,25 @@ def merge_adjacent(spark, sf_dir):
     return m.select("conv_id", F.col("run").cast("long").alias("run"), "key", F.array_join("toks", " ").alias("line"))
 
 
+@query(sql.MERGE_KEYS)
+def merge_keys(spark, sf_dir):
+    """Runs with empty keys, which are skipped, and facet keys, which stay whole."""
+    conv = _table(spark, sf_dir, "conversations")
+    key = F.when(F.col("turn") % 7 == 3, F.lit("")).when(F.col("turn") % 5 == 2, F.lit("f:facet")).otherwise(F.concat_ws(":", F.when(F.col("role") == "assistant", F.lit("a")).otherwise(F.lit("u")), F.col("turn")))
+    m = merge.merge_adjacent(conv.select("conv_id", "turn", key.alias("key"), T.words("text").alias("toks")), order=("turn",), within="conv_id")
+    return m.select("conv_id", F.col("run").cast("long").alias("run"), "key", F.array_join("toks", " ").alias("line"))
+
+
+@query(sql.ATTACHED)
+def attached_facets(spark, sf_dir):
+    """Facet lines behind their documents' lines."""
+    docs = _table(spark, sf_dir, "documents")
+    own = docs.select((F.col("doc_id") * 2).alias("line_id"), F.col("doc_id").cast("string").alias("key"), F.split("source", " ").alias("toks"))
+    facets = docs.select((F.col("doc_id") * 2 + 1).alias("line_id"), F.concat("doc_id", F.lit(":facet")).alias("key"), F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source")).alias("toks"))
+    _, found = retrieve.attach_facets(own.unionByName(facets))
+    return found.select(F.col("docno").cast("long").alias("docno"), "facet")
+
+
 def _index(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     facets = docs.select(F.col("doc_id").alias("docno"), F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"))).alias("facet"))
@@ -207,9 +292,9 @@ def _index(spark, sf_dir):
 
 
 def _topics(spark, sf_dir):
-    """The first five tokens of each benchmark item."""
+    """The tokens of each benchmark item, weighted by their places."""
     b = _table(spark, sf_dir, "benchmark")
-    terms = F.slice(T.tokens("text"), 1, 5)
+    terms = T.tokens("text")
     return b.select(F.col("item_id").alias("topic"), terms.alias("terms"), F.transform(terms, lambda x, i: (i + 1).cast("double")).alias("weights"))
 
 
@@ -230,7 +315,7 @@ def index_postings(spark, sf_dir):
 
 def _retrieval(**options):
     def run(spark, sf_dir):
-        r = retrieve.retrieve(_index(spark, sf_dir), _topics(spark, sf_dir), top_documents=100, **options)
+        r = retrieve.retrieve(_index(spark, sf_dir), _topics(spark, sf_dir), **options)
         return r.select("topic", "docno", F.round("score", 6).alias("score"), "rank")
 
     return run
@@ -241,11 +326,11 @@ query(sql.retrieval(weighted=True), "retrieve_weighted")(_retrieval(weighted=Tru
 query(sql.retrieval(skew=True), "retrieve_skew")(_retrieval(simple_skewness=True))
 
 
-def _facet_ranking(method: str, normalize: bool):
+def _facet_ranking(method: str, normalize: bool, support: int = 1):
     def run(spark, sf_dir):
         i = _index(spark, sf_dir)
-        r = retrieve.retrieve(i, _topics(spark, sf_dir), top_documents=100)
-        f = retrieve.rank_facets(i, r, method, normalize=normalize)
+        r = retrieve.retrieve(i, _topics(spark, sf_dir))
+        f = retrieve.rank_facets(i, r, method, normalize=normalize, min_support=support)
         return f.select("topic", "facet", F.round("score", 6).alias("score"), "n", "rank")
 
     return run
@@ -257,6 +342,17 @@ for _f in ("count", "simple", "dirichlet"):
             query(sql.facets(_f, _z), f"facet_{_f}" + "_normalized" * _z)(_facet_ranking(_f, _z))
 
 
+query(sql.facets("count", False, 20), "facet_count_support")(_facet_ranking("count", False, 20))
+
+
+@query(sql.INDEX_POSTINGS)
+def index_stored(spark, sf_dir):
+    """Postings of an index that was written and read again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4()}"
+    _index(spark, sf_dir).write(path)
+    return retrieve.Index.read(spark, path).postings
+
+
 def _embeddings(spark, sf_dir):
     return cluster.dense_entries(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
@@ -279,6 +375,21 @@ for _m in cluster.METRICS:
     query(sql.kmeans_assign(_m), f"kmeans_assign_{_m}")(_kmeans_assign(_m))
 
 
+@query(sql.kmeans_error())
+def kmeans_error(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    return cluster.assign(e, _fixed_seeds(e), "l2").agg(F.round(F.sum("dist"), 3).alias("error"))
+
+
+@query(sql.SPARSE_LINES)
+def sparse_lines(spark, sf_dir):
+    """Vectors through their line format; lines without a valid field drop out."""
+    e = _table(spark, sf_dir, "embeddings")
+    fields = F.transform("embedding", lambda w, i: F.concat_ws(":", i, w.cast("double")))
+    lines = e.select(F.col("vec_id").alias("line_id"), F.when(F.col("vec_id") % 10 == 3, F.lit("no field : x:1 ")).otherwise(F.array_join(fields, " ")).alias("text"))
+    return cluster.entries(L.sparse_lines(lines)).select("row", "id", F.round("w", 5).alias("w"))
+
+
 @query(sql.kmeans_step())
 def kmeans_step(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
@@ -296,7 +407,7 @@ def kmedoids_step(spark, sf_dir):
 @query()
 def kmeans_clusters(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    labels, _ = cluster.kmeans(e, 8, metric="l2", seeds=_fixed_seeds(e), most=10)
+    labels, _ = cluster.kmeans(e, 8, metric="l2", seeds=_fixed_seeds(e))
     return labels.select("row", "k")
 
 
@@ -311,6 +422,12 @@ def _kl(invert: bool):
     return run
 
 
+@query(sql.COSINE)
+def cosine_rank(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"))
+    return rank.rank_by_divergence(e, e.where(F.col("key") % 100 == 0), metric="cosine").select("query", "key", F.round("dist", 6).alias("dist"))
+
+
 query(sql.kl(False), "kl_rank")(_kl(False))
 query(sql.kl(True), "kl_rank_inverted")(_kl(True))
 

@@ -59,28 +59,44 @@ c{i} AS MATERIALIZED (SELECT x, y, fxy AS f_xy, sx + sy AS size, {score} AS scor
 NO_SIZES = "(SELECT '' AS tok, 1 AS size)"
 
 
+WORD_CASES = f"WITH {LINES} SELECT doc_id, CAST(line_id AS INTEGER) AS line_id, CASE WHEN instr(text, '.') > 0 THEN left(text, instr(text, '.') - 1) ELSE text END AS after, CASE WHEN instr(text, '.') > 0 THEN substr(text, instr(text, '.')) ELSE text END AS before FROM lines"
+TOKENIZE_BYPASS = f"WITH {LINES} SELECT doc_id, CAST(line_id AS INTEGER) AS line_id, text AS tok FROM lines"
+
+
 def candidates(o: Options) -> str:
     return f"WITH {CORPUS}, {_scored(o, 1, 'l0', NO_SIZES, 0)} SELECT x, y, f_xy, round(score, 5) AS score FROM c1"
 
 
 def segmentation(o: Options, iterations: int, what: str) -> str:
-    """Iterations with one merge each, as chained tables; lines are framed strings."""
+    """Iterations as chained tables; lines are framed strings. A ratio or a threshold that ends the loop empties what follows."""
     frame = "array_to_string(list_transform(t, lambda z: chr(1) || z || chr(2)), '')"
     parts = [CORPUS]
     for i in range(1, iterations + 1):
         lines = f"l{i - 1}"
         sizes = f"s{i - 1}" if i > 1 else NO_SIZES
-        parts.append(_scored(o, i, lines, sizes, i - 1))
-        parts.append(f"m{i} AS MATERIALIZED (SELECT * FROM c{i} ORDER BY round(score, 9), x, y LIMIT 1)")
-        parts.append(f"s{i} AS MATERIALIZED (SELECT x || y AS tok, size FROM m{i}" + (f" UNION ALL SELECT * FROM s{i - 1}" if i > 1 else "") + ")")
-        merged = f"replace({frame}, chr(1) || x || chr(2) || chr(1) || y || chr(2), chr(1) || x || y || chr(2))"
-        parts.append(f"l{i} AS MATERIALIZED (SELECT string_split(rtrim(replace({merged}, chr(1), ''), chr(2)), chr(2)) AS t, weight FROM {lines}, m{i})")
+        parts.append(_scored(o, i, lines, sizes, (i - 1) * o.top))
+        go = f"(SELECT n FROM n{i})::DOUBLE / (SELECT n FROM n1) >= {o.ratio}" if o.ratio > 0 else "true"
+        if i > 1 and o.ratio > 0:
+            go += f" AND EXISTS (SELECT * FROM m{i - 1})"
+        if i > 1 and o.method == "descent":
+            go += f" AND NOT EXISTS (SELECT * FROM m{i - 1} WHERE score > {o.threshold}) AND EXISTS (SELECT * FROM m{i - 1})"
+        parts.append(f"m{i} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(score, 9), x, y) AS rank FROM c{i} WHERE {go} QUALIFY rank <= {o.top})")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT x || y AS tok, size FROM m{i}" + (f" UNION SELECT * FROM s{i - 1}" if i > 1 else "") + ")")
+        merged = frame
+        for k in range(1, o.top + 1):
+            pick = lambda v: f"(SELECT {v} FROM m{i} WHERE rank = {k})"  # noqa: E731, B023
+            merged = f"coalesce(replace({merged}, chr(1) || {pick('x')} || chr(2) || chr(1) || {pick('y')} || chr(2), chr(1) || {pick('x || y')} || chr(2)), {merged})"
+        parts.append(f"l{i} AS MATERIALIZED (SELECT string_split(rtrim(replace({merged}, chr(1), ''), chr(2)), chr(2)) AS t, weight FROM {lines})")
     head = "WITH " + ",\n".join(parts)
     if what == "merges":
         return head + " " + " UNION ALL ".join(f"SELECT {i} AS iteration, x, y, f_xy, round(score, 5) AS score FROM m{i}" for i in range(1, iterations + 1))
     return head + f" SELECT array_to_string(t, ' ') AS line, CAST(sum(weight) AS BIGINT) AS weight FROM l{iterations} GROUP BY 1"
 
 
+SELF_MERGE = """
+WITH c AS (SELECT item_id, list_filter(string_split(text, ''), lambda z: z <> ' ') AS t FROM benchmark)
+SELECT item_id, rtrim(replace(replace(replace(array_to_string(list_transform(t, lambda z: chr(1) || z || chr(2)), ''), chr(1) || 'e' || chr(2) || chr(1) || 'e' || chr(2), chr(1) || 'ee' || chr(2)), chr(1), ''), chr(2), ' '), ' ') AS line FROM c"""
+
 EVAL_BASE = f"""{LINES},
 p AS (SELECT doc_id, line_id, {words()} AS w FROM lines),
 q AS (SELECT doc_id, line_id, w, {words("array_to_string(list_transform(w, lambda x, i: x || CASE WHEN (i - 1) % 3 = 2 THEN '' ELSE ' ' END), '')")} AS v FROM p),
@@ -94,12 +110,15 @@ t AS (SELECT doc_id, CAST(line_id AS INTEGER) AS line_id,
 EVAL_LINES = f"WITH {EVAL_BASE} SELECT * FROM t"
 EVAL_SUMS = f"""{EVAL_BASE},
 f AS (SELECT 'f' || (doc_id % 3) AS file, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("w_matched", "w_relevant", "w_retrieved", "b_matched", "b_relevant", "b_retrieved"))} FROM t GROUP BY 1),
-g AS (SELECT *, w_matched / w_retrieved AS w_p, w_matched / w_relevant AS w_r, (b_matched - 2) / (b_retrieved - 2) AS b_p, (b_matched - 2) / (b_relevant - 2) AS b_r FROM f),
+g AS (SELECT *, w_matched / w_retrieved AS w_p, w_matched / w_relevant AS w_r, (b_matched - 2) / b_retrieved AS b_p, (b_matched - 2) / b_relevant AS b_r FROM f),
 h AS (SELECT *, 2 * w_p * w_r / (w_p + w_r) AS w_f, 2 * b_p * b_r / (b_p + b_r) AS b_f FROM g)"""
+EVAL_NOCASE = f"""WITH {EVAL_BASE.replace("AS w FROM lines", "AS w FROM lines WHERE doc_id % 2 = 0 OR regexp_full_match(text, '[^A-Z]*')")} SELECT count(*) AS n, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("w_matched", "w_relevant", "w_retrieved", "b_matched", "b_relevant", "b_retrieved"))} FROM t"""
 EVAL_SCORES = f"WITH {EVAL_SUMS} SELECT file, w_matched, w_relevant, w_retrieved, b_matched, b_relevant, b_retrieved, {', '.join(f'round({c}, 6) AS {c}' for c in ('w_p', 'w_r', 'w_f', 'b_p', 'b_r', 'b_f'))} FROM h"
 EVAL_REPORT = f"WITH {EVAL_SUMS} SELECT file || chr(9) || '[W] ' || printf('%6.2f %6.2f %6.2f [B] %6.2f %6.2f %6.2f', w_p * 100, w_r * 100, w_f * 100, b_p * 100, b_r * 100, b_f * 100) AS report FROM h"
 
 DOC_FREQ = f"WITH {LINES} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_append({toks()}, '#eol'))) AS term FROM lines) GROUP BY term"
+DOC_FREQ_REST = f"WITH {LINES} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_append(({toks()})[2:], '#eol'))) AS term FROM lines) GROUP BY term"
+DF_TABLE = DOC_FREQ
 TERM_IDS = f"SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS id FROM ({DOC_FREQ})"
 
 
@@ -119,6 +138,15 @@ g AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY conv_id ORDER BY turn) = k
 r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM g)
 SELECT conv_id, run, key, coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY turn) FILTER (WHERE len(w) > 0), '') AS line FROM r GROUP BY conv_id, run, key"""
 
+MERGE_KEYS = f"""
+WITH k AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '' WHEN turn % 5 = 2 THEN 'f:facet' WHEN role = 'assistant' THEN 'a' ELSE 'u' END AS key, {words()} AS w FROM conversations),
+g AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY conv_id ORDER BY turn) = key THEN 0 ELSE 1 END AS new FROM k WHERE key <> ''),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM g)
+SELECT conv_id, run, key, coalesce(string_agg(array_to_string(w, ' '), ' ' ORDER BY turn) FILTER (WHERE len(w) > 0), '') AS line FROM r GROUP BY conv_id, run, key"""
+
+ATTACHED = """
+SELECT doc_id AS docno, facet FROM (SELECT doc_id, unnest(['lang:' || lang, 'source:' || source]) AS facet FROM documents)"""
+
 INDEX = f"""
 po AS MATERIALIZED (SELECT docno, term, count(*) AS tf FROM (SELECT doc_id AS docno, unnest({toks()}) AS term FROM documents) GROUP BY ALL),
 te AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM po GROUP BY term),
@@ -133,18 +161,18 @@ def _run(weighted: bool = False, skew: bool = False) -> str:
     w = "k * len(t) / list_sum(range(1, len(t) + 1))" if weighted else "1"
     shift = " - 0.9 * max(score) OVER (PARTITION BY topic)" if skew else ""
     return f"""{INDEX},
-q AS (SELECT topic, len(t) AS qlen, t[k] AS term, {w} AS w FROM (SELECT topic, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT item_id AS topic, ({toks()})[1:5] AS t FROM benchmark))),
+q AS (SELECT topic, len(t) AS qlen, t[k] AS term, {w} AS w FROM (SELECT topic, t, unnest(range(1, len(t) + 1)) AS k FROM (SELECT item_id AS topic, {toks()} AS t FROM benchmark))),
 h AS (SELECT topic, docno, qlen, sum(w * ln(1 + tf * (SELECT sum(doclen) FROM dl)::DOUBLE / (2500.0 * ctf)::DOUBLE)) AS part FROM q JOIN te USING (term) JOIN po USING (term) GROUP BY ALL),
 s AS (SELECT topic, docno, part - qlen * ln(doclen + 2500) AS score FROM h JOIN dl USING (docno) WHERE part <> 0),
 z AS (SELECT topic, docno, score{shift} AS score FROM s),
-r AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, docno) AS INTEGER) AS rank FROM z QUALIFY rank <= 100)"""
+r AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, docno) AS INTEGER) AS rank FROM z QUALIFY rank <= 1000)"""
 
 
 def retrieval(weighted: bool = False, skew: bool = False) -> str:
     return f"WITH {_run(weighted, skew)} SELECT topic, docno, round(score, 6) AS score, rank FROM r"
 
 
-def facets(method: str, normalize: bool) -> str:
+def facets(method: str, normalize: bool, support: int = 1) -> str:
     if method == "count":
         score = "CAST(count(*) AS DOUBLE)"
         body = f"SELECT topic, facet, {score} AS score, count(*) AS n FROM r JOIN fa USING (docno) GROUP BY ALL"
@@ -156,7 +184,7 @@ FROM (SELECT topic, facet, sum(exp(score) / 22) AS nom, sum(1.0::DOUBLE / 22) AS
 JOIN (SELECT topic, sum(exp(score) / 22) AS all_nom, sum(1.0::DOUBLE / 22) AS all_denom FROM r GROUP BY topic) USING (topic)
 JOIN (SELECT facet, 20 * count(*)::DOUBLE / (SELECT count(*) FROM fa) AS k FROM fa GROUP BY facet) USING (facet)"""
     return f"""WITH {_run()}, x AS ({body})
-SELECT topic, facet, round(score, 6) AS score, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, facet) AS INTEGER) AS rank FROM x) WHERE rank <= 100"""
+SELECT topic, facet, round(score, 6) AS score, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, facet) AS INTEGER) AS rank FROM x WHERE n >= {support}) WHERE rank <= 100"""
 
 
 ENTRIES = "e AS MATERIALIZED (SELECT vec_id AS row, unnest(range(0, len(embedding))) AS id, unnest(embedding)::DOUBLE AS w FROM embeddings)"
@@ -189,6 +217,16 @@ n AS (SELECT k, row FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY ro
 SELECT k, id, round(w, 5) AS w FROM n JOIN v USING (row)"""
 
 
+def kmeans_error() -> str:
+    return f"WITH {_assigned('l2')} SELECT round(sum(dist), 3) AS error FROM a"
+
+
+COSINE = f"""WITH {ENTRIES},
+d AS (SELECT a.row AS query, b.row AS key, 1 - sum(a.w * b.w) / sqrt(sum(a.w * a.w) * sum(b.w * b.w)) AS dist FROM e a JOIN e b ON a.id = b.id AND a.row % 100 = 0 GROUP BY 1, 2)
+SELECT query, key, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(dist, 9), key) <= 100"""
+SPARSE_LINES = f"""WITH {ENTRIES} SELECT row, id, round(w, 5) AS w FROM e WHERE row % 10 <> 3"""
+
+
 def kl(invert: bool) -> str:
     p, q = ("b", "a") if invert else ("a", "b")
     return f"""WITH {ENTRIES}, x AS MATERIALIZED (SELECT row, id, exp(w) / sum(exp(w)) OVER (PARTITION BY row) AS p FROM e),
@@ -199,5 +237,5 @@ SELECT query, key, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PART
 CLUSTER_PRETTY = """
 WITH e AS (SELECT label, 'v' || vec_id AS item, round(embedding[1]::DOUBLE, 3) + 0.0::DOUBLE AS score FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, item) AS rank, dense_rank() OVER (ORDER BY label) - 1 AS c FROM e),
-f AS (SELECT max(rank) AS n FROM r WHERE c = 0)
-SELECT c // 5 AS block, CAST(rank AS INTEGER) AS rank, string_agg(printf('%25s %.6f', item, score), ' ' ORDER BY c) AS line FROM r, f WHERE rank <= n GROUP BY 1, 2"""
+f AS (SELECT c, unnest(range(1, (SELECT max(rank) FROM r WHERE c = 0) + 1)) AS rank FROM (SELECT DISTINCT c FROM r))
+SELECT c // 5 AS block, CAST(rank AS INTEGER) AS rank, string_agg(printf('%25s %.6f', coalesce(item, ''), coalesce(score, 0.0::DOUBLE)), ' ' ORDER BY c) AS line FROM f LEFT JOIN r USING (c, rank) GROUP BY 1, 2"""

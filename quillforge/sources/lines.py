@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillforge.functions.columns import general
 from quillforge.functions.text import first_field, rest_fields, words
 from quillforge.operators.segment import unframed
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """file (place among the paths), line_id, text: lines of text files in order.
+    """file (place among the paths), path, line_id, text: lines of text files in order; ``-`` is the standard input.
 
-    Files are read whole and cut into lines, which gives ordinals that no partitioning can change; a
-    file must fit a task.
+    Files are read in splits. A line's number is its place in its split behind the splits before it in the
+    file, so it does not depend on how splits are dealt to tasks, and files may be of any size.
     """
     out = None
     for k, path in enumerate(paths):
-        whole = spark.read.text(path, wholetext=True).select(F.lit(k).alias("file"), F.col("_metadata.file_path").alias("path"), "value")
-        out = whole if out is None else out.unionByName(whole)
-    text = F.regexp_replace("value", "\n$", "")
-    return out.where("value <> ''").select("file", "path", F.posexplode(F.split(text, "\n", -1)).alias("line_id", "text"))
+        if path == "-":
+            text = sys.stdin.read().removesuffix("\n")
+            rows = spark.createDataFrame([(k, "-", 0, i, t) for i, t in enumerate(text.split("\n") if text else [])], "file int, path string, split long, place long, text string")
+        else:
+            rows = spark.read.text(path, lineSep="\n").select(F.lit(k).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    splits = out.groupBy("file", "path", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file", "path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "path", "split", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return out.join(splits, ["file", "path", "split"]).select("file", "path", (F.col("place") + F.col("shift")).alias("line_id"), "text")
 
 
 def document_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,7 +85,12 @@ def zip_lines(truth: DataFrame, test: DataFrame, on: str = "line_id") -> DataFra
 
 
 def write_lines(df: DataFrame, path: str, *, order: str | None = None, column: str = "line", mode: str = "errorifexists") -> None:
+    """Lines as text files under ``path``, or on the standard output for ``-``."""
     rows = df.orderBy(order) if order else df
+    if path == "-":
+        for r in rows.select(column).toLocalIterator():
+            print(r[0])
+        return
     rows.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
@@ -95,5 +109,5 @@ def snapshots(path: str, prefix: str = "output"):
 
 
 def write_vectors(df: DataFrame, path: str, *, v: str = "v", order: str = "line_id", mode: str = "errorifexists") -> None:
-    text = F.array_join(F.transform(v, lambda e: F.concat_ws(":", e["id"].cast("string"), F.format_string("%g", e["w"]))), " ")
+    text = F.array_join(F.transform(v, lambda e: F.concat_ws(":", e["id"].cast("string"), general(e["w"]))), " ")
     write_lines(df.withColumn("line", text), path, order=order, mode=mode)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -20,6 +21,9 @@ def test_evaluate_goldens(spark):
     assert compared(spark, "a b", "ab") == (0, 2, 1, 0, 1, 0)
     assert compared(spark, "", "") == (1, 1, 1, 0, 0, 0)
     assert compared(spark, "a b c", "a bc") == (1, 3, 2, 1, 2, 1)
+    assert compared(spark, " \t", "") == (1, 1, 1, 0, 0, 0)
+    assert compared(spark, "日本 語é x", "日本 語 éx") == (1, 3, 3, 1, 2, 2)
+    assert compared(spark, "a b " * 20_000, "ab " * 20_000) == (0, 40_000, 20_000, 19_999, 39_999, 19_999)
     assert compared(spark, "a b", "ac") == ()
     assert compared(spark, "A b", "a b", ignore_case=True) == (2, 2, 2, 1, 1, 1)
 
@@ -28,12 +32,36 @@ def test_evaluate_compat_takes_two_more(spark):
     truth = spark.createDataFrame([(0, "a b")], "line_id long, text string")
     test = spark.createDataFrame([(0, "ab", "t")], "line_id long, text string, file string")
     row = evaluate.evaluate(truth, test).first()
-    assert row["b_r"] == pytest.approx(2.0, abs=1e-9)
-    assert "200.00" in evaluate.report(evaluate.evaluate(truth, test)).first()[0]
+    assert (row["b_r"], row["b_p"]) == (-2.0, float("-inf"))
+    assert evaluate.report(evaluate.evaluate(truth, test)).first()[0] == "t\t[W]   0.00   0.00    nan [B]   -inf -200.00    nan"
+    plain = evaluate.evaluate(truth, test, compat=False).first()
+    assert plain["b_r"] == 0
     with pytest.raises(ValueError, match="lines"):
         evaluate.evaluate(truth, test.unionByName(test.withColumn("line_id", F.lit(1).cast("long"))))
 
 
+def test_boundary_counts_equal_a_plain_model(spark):
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(200):
+        chars = [rng.choice("abé語") for _ in range(rng.randint(0, 20))]
+        pairs.append(tuple("".join(c + (" " if rng.random() < 0.4 else "") for c in chars) for _ in range(2)))
+
+    def cuts(text):
+        out, at = [0], 0
+        for w in text.split():
+            at += len(w)
+            out.append(at)
+        return out if len(out) > 1 else [0, 0]
+
+    got = evaluate.compare_lines(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, truth string, test string")).orderBy("i").collect()
+    for (truth, test), r in zip(pairs, got, strict=True):
+        a, b = cuts(truth), cuts(test)
+        both = len(set(a) & set(b)) - 2 if a[-1] else 0
+        matched = len(set(zip(a, a[1:])) & set(zip(b, b[1:])))
+        assert tuple(r[c] for c in evaluate.TOTALS) == (matched, len(a) - 1, len(b) - 1, both, len(a) - 2, len(b) - 2)
+
+
 def test_document_frequency(spark):
     df = lines(spark, "a b a", "b", "")
     assert {tuple(r) for r in docfreq.document_frequency(df).collect()} == {("#eol", 3), ("a", 1), ("b", 2)}
