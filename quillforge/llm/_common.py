@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillforge.storage import checkpointed, few, release, remove, shared_folder
+
+__all__ = ["SPACE", "checkpointed", "few", "field", "fresh", "let", "pieces", "raw_utf8", "release", "remove", "rows_of", "shared_folder", "without"]
 #: C-locale white space: what separates words in every operator here.
 SPACE = r"\x20\x09-\x0D"
 
@@ -22,36 +21,6 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark) -> str:
-    """The folder for checkpoints and for what stages pass on: spark.checkpoint.dir, which all executors share.
-
-    A folder of our own is used only where the session names none and runs in one process (tests, local mode);
-    on a cluster a missing setting is an error, as executors would not see a local folder.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not named:
-            named = tempfile.mkdtemp(prefix="ckpt-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def remove(spark, path: str) -> None:
-    """Delete a folder in the shared file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(*taken: str, stem: str) -> str:
     """A column name that clashes with none of ``taken``, letter case aside."""
     low, name = {t.lower() for t in taken}, stem
@@ -64,14 +33,6 @@ def field(df: DataFrame, col: str, name: str | None = None) -> T.StructField:
     return T.StructField(name or col, df.schema[col].dataType, True)
 
 
-#: Ids up to so many are broadcast; a long and its hash entry each, some 4 MB.
-FEW = 200_000
-
-
-def few(df: DataFrame, most: int = FEW) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def without(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """The rows of ``docs`` whose ``id`` is not in the one column of ``ids``; nulls equal nulls."""
     name = fresh(*docs.columns, stem="gone")

@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; those for slices of the usual size are kept."""
     if n > SLICE + 1:
         return _all_powers(base, n)
@@ -80,11 +80,11 @@ def words(column: pa.Array) -> Words:
     stop[edge - 1] |= ~gap[edge - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     value = LOWER[data].astype(np.uint64) + np.uint64(1)
-    value *= _powers(_B, n)
+    value *= powers(_B, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=sums[1:])
     del value
-    h = (sums[end] - sums[start]) * _powers(_INV, n + 1)[start]
+    h = (sums[end] - sums[start]) * powers(_INV, n + 1)[start]
     return Words(mix(h ^ (end - start).astype(np.uint64)), start, end, np.searchsorted(start, offsets))
 
 
@@ -112,6 +112,17 @@ def whole(w: Words, i: int, j: int) -> np.ndarray:
     return mix((w.hash[i:j] * _C[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
 
 
+def packed(s: np.ndarray) -> bytes:
+    """A set as 48 bits of each hash: what two texts of n shingles share by chance is n**2 / 2**48."""
+    return np.sort(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; with fewer words the whole sequence is one; without words empty."""
     w = words(column)

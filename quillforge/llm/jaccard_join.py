@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillforge.llm._common import checkpointed, rows_of, without
-from quillforge.llm._components import components
-from quillforge.llm._shingles import SLICE, mix, shingle_sets
+from quillforge.llm._components import components, dealt, rest
+from quillforge.llm._shingles import SLICE, mix, packed, shingle_sets, unpacked
 
 CELLS = 1 << 22  # counters of shingle frequencies; the broadcast table has a byte for each
 TARGET = 600_000  # block values that one task joins, about
@@ -88,9 +88,7 @@ def signatures(s: np.ndarray, family: int, most: int, bands: Bands, common: np.n
         sig = mix(flips ^ mix(block[first] + salt))
     else:
         sig = mix(s ^ salt)
-    if len(sig) <= most:
-        if k:  # cannot be for hashed shingles: 4 blocks a shingle leave 9 of 10 alone
-            raise ValueError("shingle hashes crowd in few blocks")
+    if len(sig) <= most:  # a small set, or one whose hashes crowd in few blocks: all of them
         return sig
     key = (rarity.astype(np.uint64) << np.uint64(56)) | (sig >> np.uint64(8))
     return sig[np.argpartition(key, most)[: most + 1]]
@@ -222,7 +220,7 @@ def _screened(pairs: DataFrame, base: DataFrame, bands: Bands) -> DataFrame:
     """a, b: candidates that the dense sketches allow.
 
     Of each centre's group: the centre with what is near it; and what is not near it with all of the
-    group, as the centre says nothing about those. Large groups are dealt in pairs of blocks.
+    group, as the centre says nothing about those. Large groups are dealt in blocks.
     """
     rows = base.where("n > 0 and id is not null")
     sketches = rows.select("id", "n", "f", F.col("own").alias("sketch")).unionByName(rows.where("f > 0").select("id", "n", (F.col("f") - 1).alias("f"), F.col("low").alias("sketch"))).distinct()
@@ -243,25 +241,24 @@ def _screened(pairs: DataFrame, base: DataFrame, bands: Bands) -> DataFrame:
     flagged = pairs.join(x, ["f", "b"]).join(y, ["f", "a"]).select("f", "a", "b", "na", "nb", "sa", "sb").mapInArrow(flag, "f int, a long, b long, near boolean")
     flagged = checkpointed(flagged)
     star = flagged.where("near").select("a", "b")
-    sizes = flagged.groupBy("f", "a").agg(F.count("*").alias("members"), F.count_if(~F.col("near")).alias("apart")).where("apart > 0 and members > 1")
-    group = flagged.join(sizes, ["f", "a"])
-    blocks = F.ceil(F.col("members") / GROUP).cast("int")
-    group = group.withColumn("mine", F.pmod(F.xxhash64("b"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    group = group.select("f", "a", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "b", "near")
-    dealt = group.join(x, ["f", "b"]).select("f", "a", "i", "j", "b", "near", "nb", "sb")
+    sizes = flagged.groupBy("f", "a").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("s")).where("s > 0 and n > 1")
+    group = flagged.join(sizes, ["f", "a"]).select("f", F.col("a").alias("g"), "b", (~F.col("near")).alias("alone"), "n", "s")
+    group = dealt(group, "b", GROUP).join(x, ["f", "b"]).select("f", "g", "i", "j", "b", "a", "nb", "sb")
 
     def screen(table: pa.Table) -> pa.Table:
-        ids, near, n = table.column("b").to_numpy(), table.column("near").to_numpy(), table.column("nb").to_numpy()
+        ids, side, n = table.column("b").to_numpy(), table.column("a").to_numpy(), table.column("nb").to_numpy()
         s = np.frombuffer(b"".join(table.column("sb").to_pylist()), np.uint64).reshape(len(ids), -1)
+        there = np.flatnonzero(~side)
         a, b = [], []
-        for i in np.flatnonzero(~near):
-            hit = _near(s, n, s[i : i + 1], n[i : i + 1], bands) & (ids != ids[i])
+        for i in np.flatnonzero(side):
+            hit = there[_near(s[there], n[there], s[i : i + 1], n[i : i + 1], bands)]
+            hit = hit[ids[hit] != ids[i]]
             a.append(np.minimum(ids[hit], ids[i]))
             b.append(np.maximum(ids[hit], ids[i]))
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    return star.unionByName(dealt.groupBy("f", "a", "i", "j").applyInArrow(screen, "a long, b long")).distinct()
+    return star.unionByName(group.groupBy("f", "g", "i", "j").applyInArrow(screen, "a long, b long")).distinct()
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -291,22 +288,11 @@ def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
         for whole in wanted():
             for batch in rows_of(whole, SLICE):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(s) for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(s) for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
 
     return docs.mapInArrow(sets, "id long, set binary")
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """A set as 48 bits of each hash: what two documents of n shingles share by chance is n**2 / 2**48."""
-    return np.sort(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. Sets are made once and join both sides."""
     made = checkpointed(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, k))
@@ -316,7 +302,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = _unpacked(x), _unpacked(y)
+                x, y = unpacked(x), unpacked(y)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
@@ -326,47 +312,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _across(percent: int):
-    """Links (a, b) between members of different components, of one block of a centre's group (x, c, set)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, comp = table.column("x").to_numpy(), table.column("c").to_numpy()
-        sets = [_unpacked(s) for s in table.column("set").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        names, n = np.unique(comp, return_counts=True)
-        a, b = [], []
-        for i in np.flatnonzero(comp != names[n.argmax()]):  # every pair across has a member outside the largest
-            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            hits = np.concatenate([row[p:q] for p, q in zip(low, high, strict=True)]) if len(low) else np.zeros(0, int)
-            both = np.bincount(hits, minlength=len(sets))
-            j = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (comp != comp[i]))
-            a += [node[i]] * len(j)
-            b += node[j].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
 def _rest(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that the centres' comparisons leave open: between near members of one centre that are in different components so far.
 
-    Groups are dealt in pairs of blocks of some ``GROUP`` members, so no task holds more sets than two blocks.
+    Groups are dealt in blocks of some ``GROUP`` members, so no task holds more sets than two blocks.
     """
-    known = components(edges)
-    members = pairs.select(F.col("a").alias("m"), F.col("b").alias("x")).unionByName(pairs.select(F.col("a").alias("m"), F.col("a").alias("x")).distinct())
-    labelled = members.join(known, F.col("x") == F.col("node"), "left").select("m", "x", F.coalesce("component", "x").alias("c"))
-    open_ = labelled.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("m", "n")
-    group = checkpointed(labelled.join(open_, "m"))
-    blocks = F.ceil(F.col("n") / GROUP).cast("int")
-    group = group.withColumn("own", F.pmod(F.xxhash64("x"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    group = group.select("m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "c")
-    sets = _sets_of(group.select(F.col("x").alias("id")), docs, k)
-    dealt = group.join(sets, F.col("x") == F.col("id")).select("m", "i", "j", "x", "c", "set")
-    return dealt.groupBy("m", "i", "j").applyInArrow(_across(percent), "a long, b long")
+    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("x")).unionByName(pairs.select(F.col("a").alias("g"), F.col("a").alias("x")).distinct())
+    return rest(members, edges, lambda ids: _sets_of(ids.toDF("id"), docs, k).withColumnRenamed("id", "x"), percent, GROUP)
 
 
 def links(docs: DataFrame, base: DataFrame, bands: Bands, k: int = 5, percent: int = 80) -> DataFrame:

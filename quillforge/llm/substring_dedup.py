@@ -1,64 +1,41 @@
 """Substring dedup: paragraph MinHash banding.
 
-A text's paragraphs are windows of 30 words that begin where winnowing selects a shingle: in any 22
-shingles in a row one is selected by its hash alone, so wherever a passage of 51 words stands, an equal
-copy of one of its paragraphs starts at the same place of it. Lines, and blocks between blank lines, of
-30 words or more are paragraphs too, whole, so that near-equal ones compare over all their words. MinHash over a paragraph's five-word
-shingles is banded (3 bands of 2: 95 % of pairs at a similarity of 0.8, 99 % at 0.9, all equal ones);
-what collides is compared by 64-bit parity sketches, which bound the similarity from above, and parts of a
-bucket that sketches connect become groups. In a group, members are compared with a neighbour by exact
-Jaccard similarity, then members of different components with each other. Links make components, and of each component found in two documents or more the least document keeps its copy.
+Paragraphs are of two kinds:
+
+* Lines, and blocks between blank lines, of 30 words or more. MinHash over their five-word shingles is
+  banded (5 bands of 2: 99 % of pairs at a similarity of 0.8). Of each bucket the least member, its centre,
+  is paired with the others; 256-bit parity sketches, which bound the similarity from above, drop pairs, and
+  exact Jaccard similarity decides. Where a centre's group is left in several components, its members are
+  compared with each other too, in blocks, so no link of a bucket is lost.
+* Windows of 28 words inside them, for passages in longer lines. They begin where winnowing selects a
+  shingle: of any 4 starts in a row one is selected by its hash alone. Two windows of 30 words differ in at
+  most two shingles if they are similar, so they hold 28 equal words in a row: windows need no bands, and
+  join where all their words are equal.
+
+Links make components, and of each found in two documents or more the least document keeps its copy.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.llm._common import checkpointed, few, raw_utf8, rows_of
-from quillforge.llm._components import components
-from quillforge.llm._shingles import SLICE, Words, mix, shingles, words
+from quillforge.llm._common import checkpointed, raw_utf8, rows_of
+from quillforge.llm._components import components, rest
+from quillforge.llm._shingles import SLICE, Words, mix, packed, powers, shingles, unpacked, words
 
-SPAN = 30  # words of a paragraph
-WINNOW = 22  # shingles in a row of which one is selected
+SPAN = 30  # words of a line or block that is a paragraph, at least
+RUN = 28  # words of a window
+WINNOW = 4  # starts in a row of which one is selected
 K = 5
-BANDS, ROWS = 3, 2
-CELLS = 1 << 22
-TARGET = 600_000  # band values that one task joins, about
-SMALL = 64  # members of a bucket that is compared along with the others
-LARGE = 20_000  # members of a bucket whose sketches are compared; larger ones are groups as they are
+BANDS, ROWS = 5, 2
+SKETCH = 4  # 64-bit words of a sketch
+MOST_CELLS = 1 << 28  # bits of a table of contents: 32 MB
 GROUP = 2_500  # members of a block
-
-
-def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each n values in a row."""
-    out, size = h, 1
-    while size * 2 <= n:
-        out = np.minimum(out[:-size], out[size:])
-        size *= 2
-    return out if size == n else np.minimum(out[: len(h) - n + 1], out[n - size : n - size + len(h) - n + 1])
-
-
-def paragraphs(h: np.ndarray) -> np.ndarray:
-    """Starts of the paragraphs in a text's shingle hashes."""
-    m = SPAN - K + 1  # shingles of a paragraph
-    if len(h) < m:
-        return np.zeros(0, np.int64)
-    s = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
-    n = min(WINNOW, len(h) - m + 1)
-    low = _sliding_min(s[: len(h) - m + 1], n)
-    at = np.arange(len(low))
-    # the first of equal least values in each window: where a value is its window's least
-    chosen = np.zeros(len(h) - m + 1, bool)
-    for step in range(n):
-        here = s[at + step] == low
-        chosen[at[here] + step] = True
-        at, low = at[~here], low[~here]
-        if not len(at):
-            break
-    return np.flatnonzero(chosen)
+_BASES = (0xD1B54A32D192ED03, 0xAEF17502108EF2D9)
+_M = (1 << 64) - 1
 
 
 def units(column: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -76,332 +53,229 @@ def units(column: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1]
 
 
-def _contents(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each paragraph's shingles in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(sizes.sum()) - np.repeat(first, sizes)  # place in the paragraph
-    weights = mix(np.arange(1, sizes.max() + 1, dtype=np.uint64)) | np.uint64(1)
-    return mix(np.add.reduceat(h[np.repeat(starts, sizes) + at] * weights[at], first))
-
-
-def band_values(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Band values of paragraphs, one column for each band."""
-    m = SPAN - K + 1
-    window = sizes == m
-    ends = np.stack([starts[~window], starts[~window] + sizes[~window]], axis=1).ravel()
-    out = np.zeros((len(starts), BANDS), np.uint64)
+def starts(w: Words, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """First words of the windows: the least of WINNOW starts in a row by its shingle, and each text's first and last start."""
+    counts = np.maximum(np.diff(w.first) - RUN + 1, 0)
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    before = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(total) - before[row]
+    s = mix(h[first[row] + place] ^ np.uint64(0x2545F4914F6CDD1D))
+    reach = np.zeros(total, np.int8)  # of neighbours in a row that are not chosen before this one
+    for left in (True, False):
+        ok = np.ones(total, bool)
+        for step in range(1, WINNOW):
+            near = np.zeros(total, bool)
+            if step < total:
+                here, there = (slice(step, None), slice(None, -step)) if left else (slice(None, -step), slice(step, None))
+                near[here] = (row[here] == row[there]) & (s[there] > s[here] if left else s[there] >= s[here])
+            ok &= near
+            reach += ok
+    chosen = (reach >= WINNOW - 1) | (place == 0) | (place == counts[row] - 1)
+    return (w.first[row] + place)[chosen]
+
+
+def contents(w: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 31 bits, of the words from ``begin`` to ``end``."""
+    out = []
+    for base in _BASES:
+        sums = np.zeros(len(w.hash) + 1, np.uint64)
+        np.cumsum(w.hash * powers(base, len(w.hash)), out=sums[1:])
+        back = powers(pow(base, -1, 1 << 64), len(w.hash) + 1)
+        out.append(mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)))
+    return out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
+
+
+def band_values(h: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Band values, one column for each band, of paragraphs that begin at shingle ``at`` and have ``sizes``."""
+    ends = np.stack([at, at + sizes], axis=1).ravel()
+    out = np.zeros((len(at), BANDS), np.uint64)
     for b in range(BANDS):
-        value = np.full(len(starts), b + 1, np.uint64)
+        value = np.full(len(at), b + 1, np.uint64)
         for r in range(ROWS):
-            v = mix(h + np.uint64((b * ROWS + r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            low = np.zeros(len(starts), np.uint64)
-            low[window] = _sliding_min(v, m)[starts[window]]
-            if len(ends):
-                low[~window] = np.minimum.reduceat(np.append(v, v[-1:]), ends)[::2]
-            value = mix(value ^ low)
+            v = mix(h + np.uint64((b * ROWS + r + 1) * 0x9E3779B97F4A7C15 & _M))
+            value = mix(value ^ np.minimum.reduceat(np.append(v, v[-1:]), ends)[::2])
         out[:, b] = value
-    return out
+    return out.view(np.int64)
 
 
-def _each(batches):
-    """(id, shingle hashes, starts, sizes in shingles, contents) of each text with a paragraph: windows, then lines and blocks."""
-    m = SPAN - K + 1
+def sketches(h: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketch and number of each paragraph's distinct shingles: every one flips one of 64 * SKETCH bits."""
+    bit = mix(h ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(56)
+    one = np.zeros((len(h), SKETCH), np.uint64)
+    one[np.arange(len(h)), (bit % np.uint64(SKETCH)).astype(np.int64)] = np.uint64(1) << (bit >> np.uint64(2))
+    run = np.concatenate([np.zeros((1, SKETCH), np.uint64), np.bitwise_xor.accumulate(one, axis=0)])
+    mark, n = run[at + sizes] ^ run[at], sizes.copy()
+    order = np.argsort(h, kind="stable")
+    again = np.zeros(len(h) + 1, np.int64)
+    again[order[1:][h[order[1:]] == h[order[:-1]]] + 1] = 1
+    again = np.cumsum(again)
+    for i in np.flatnonzero(again[at + sizes] > again[at]):
+        _, own = np.unique(h[at[i] : at[i] + sizes[i]], return_index=True)
+        mark[i], n[i] = np.bitwise_xor.reduce(one[at[i] + own], axis=0), len(own)
+    return mark.view(np.int64), n
+
+
+def _read(batches, windows: bool, lines: bool):
+    """(ids, words, shingles, first shingle of each row, first words, ends) of batches' paragraphs; rows without an id have none."""
     for whole in batches:
+        whole = whole.filter(whole.column(0).is_valid())
         for batch in rows_of(whole, SLICE):
-            ids = batch.column(0).to_pylist()
             w = words(batch.column(1))
             h, first = shingles(w, K)
-            begin, end = units(batch.column(1), w)
-            cuts = np.searchsorted(begin, w.first)
-            for r, id in enumerate(ids):
-                own = h[first[r] : first[r + 1]]
-                if id is None or len(own) < m:
-                    continue
-                starts = paragraphs(own)
-                line, n = begin[cuts[r] : cuts[r + 1]] - w.first[r], (end - begin)[cuts[r] : cuts[r + 1]] - K + 1
-                new = (n > m) | ~np.isin(line, starts)
-                starts, sizes = np.append(starts, line[new]), np.append(np.full(len(starts), m), n[new])
-                yield id, own, starts, sizes, _contents(own, starts, sizes)
-
-
-def _found(batches):
-    """content, id: paragraphs of texts, each content of a text once."""
-    ids, contents, held = [], [], 0
-    for id, _, _, _, c in _each(batches):
-        c = np.unique(c)
-        ids.append(np.full(len(c), id, np.int64))
-        contents.append(c)
-        held += len(c)
-        if held > 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(contents).view(np.int64)), pa.array(np.concatenate(ids))], names=["content", "id"])
-            ids, contents, held = [], [], 0
-    if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(contents).view(np.int64)), pa.array(np.concatenate(ids))], names=["content", "id"])
-
-
-def _blobs(parts: int):
-    """part, sigs, contents, sketches, sizes: packed band values for the task that joins them; a task sends a content once."""
+            begin, end = units(batch.column(1), w) if lines else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if windows:
+                at = starts(w, h, first)
+                begin, end = np.append(begin, at), np.append(end, at + RUN)
+            if len(begin):
+                row = np.searchsorted(w.first, begin, "right") - 1
+                yield batch.column(0).to_numpy()[row], w, h, first[row] + begin - w.first[row], begin - w.first[row], begin, end
+
+
+_UNITS = ["content", "d", "id", "n", *[f"s{b}" for b in range(BANDS)], *[f"m{j}" for j in range(SKETCH)]]
+
+
+def _lines(batches):
+    """content, d, id, n, band values, sketch of each line and block."""
+    for ids, w, h, at, _, begin, end in _read(batches, False, True):
+        c, d = contents(w, begin, end)
+        values = band_values(h, at, end - begin - K + 1)
+        mark, n = sketches(h, at, end - begin - K + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), pa.array(ids), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in (*values.T, *mark.T)]], names=_UNITS)
+
+
+def _windows(batches):
+    """content, id of each window."""
+    for ids, w, _, _, _, begin, end in _read(batches, True, False):
+        yield pa.RecordBatch.from_arrays([pa.array(contents(w, begin, end)[0]), pa.array(ids)], names=["content", "id"])
+
+
+def _bits(cells: DataFrame, size: int):
+    """A broadcast table with a bit for each value of ``cells`` modulo its size, which goes by the input's but has a bound; what else it takes for a value costs time alone."""
+    most = min(MOST_CELLS, 1 << max(20, size.bit_length()))
+    at = F.pmod(F.col(cells.columns[0]), F.lit(most)) + 1
+    rows = cells.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("b")).toArrow()
+    out = np.zeros((most // 32768, 4096), np.uint8)
+    if rows.num_rows:
+        out[rows.column(0).to_numpy() - 1] = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(-1, 4096)
+    return cells.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def _in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    cell = values & (len(bits) * 8 - 1)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """content, set of the lines and blocks in ``wanted`` (content, low), made again from the document ``low`` that holds each."""
+    shared = _bits(wanted.select(F.col("content").bitwiseXOR(F.col("low"))), size)
 
     def run(batches):
-        seen, sigs, contents, marks, held = set(), [], [], [], 0
-
-        def flush():
-            v, c = np.concatenate(sigs), np.concatenate(contents)
-            c = np.repeat(c, BANDS)
-            mark, n = (np.repeat(np.concatenate(x), BANDS) for x in zip(*marks, strict=True))
-            v = v.ravel()
-            to = (v >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[order])) + 1
-            for at in np.split(order, cuts):
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[at[0]])]), pa.array([v[at].astype(np.uint32).tobytes()]), pa.array([c[at].tobytes()]), pa.array([mark[at].tobytes()]), pa.array([n[at].astype(np.uint32).tobytes()])], names=["part", "sigs", "contents", "sketches", "sizes"])
-
-        for _, h, starts, sizes, c in _each(batches):
-            c, first = np.unique(c, return_index=True)
-            new = np.array([x not in seen for x in c.tolist()])
-            if not new.any():
-                continue
-            c, first = c[new], first[new]
-            if len(seen) < 1_000_000:  # beyond, contents may go twice, which changes nothing
-                seen.update(c.tolist())
-            sigs.append(band_values(h, starts[first], sizes[first]))
-            contents.append(c)
-            marks.append(sketches(h, starts[first], sizes[first]))
-            held += len(c)
-            if held > 1_000_000:
-                yield from flush()
-                sigs, contents, marks, held = [], [], [], 0
-        if held:
-            yield from flush()
-
-    return run
-
-
-def sketches(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketch and number of each paragraph's distinct shingles: every one flips one of 64 bits."""
-    bit = np.uint64(1) << (mix(h ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(58))
-    run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bit)])
-    mark, n = run[starts + sizes] ^ run[starts], sizes.copy()
-    order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h) + 1, np.int64)
-    again[order[1:][h[order[1:]] == h[order[:-1]]] + 1] = 1
-    again = np.cumsum(again)
-    for i in np.flatnonzero(again[starts + sizes] > again[starts]):
-        _, at = np.unique(h[starts[i] : starts[i] + sizes[i]], return_index=True)
-        mark[i], n[i] = np.bitwise_xor.reduce(bit[starts[i] + at]), len(at)
-    return mark, n
-
-
-def _near(x, nx, y, ny, percent: int) -> np.ndarray:
-    """Whether sets with these sketches and sizes can be similar: the distance is at most the symmetric difference."""
-    small, large = np.minimum(nx, ny), np.maximum(nx, ny)
-    return (small * 100 >= large * percent) & (np.bitwise_count(x ^ y) * (100 + percent) <= (100 - percent) * (nx + ny))
-
-
-def _connect(mark: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """root, parent: places of each member's least connected member and of a near one on the way there."""
-    root, parent = np.arange(len(mark)), np.arange(len(mark))
-    left = np.arange(len(mark))
-    while len(left):
-        top, left = left[0], left[1:]
-        queue = [top]
-        while queue and len(left):
-            i = queue.pop()
-            hit = _near(mark[left], n[left], mark[i], n[i], percent)
-            root[left[hit]], parent[left[hit]] = top, i
-            queue += left[hit].tolist()
-            left = left[~hit]
-    return root, parent
-
-
-def _candidates(percent: int):
-    """g, x, p: of each part of a bucket that sketches connect, its least content, each other member, and one to compare that with."""
-
-    def run(table: pa.Table) -> pa.Table:
-        sigs, contents, mark, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("sigs", np.uint32), ("contents", np.int64), ("sketches", np.uint64), ("sizes", np.uint32)))
-        order = np.lexsort((contents, sigs))
-        sigs, contents, mark, n = sigs[order], contents[order], mark[order], n[order].astype(np.int64)
-        new = np.r_[True, (sigs[1:] != sigs[:-1]) | (contents[1:] != contents[:-1])]
-        sigs, contents, mark, n = sigs[new], contents[new], mark[new], n[new]
-        first = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
-        members = np.diff(np.r_[first, len(sigs)])
-        bucket = np.repeat(np.arange(len(first)), members)
-        root, parent = np.arange(len(sigs)), np.arange(len(sigs))
-        lows, highs = [np.zeros(0, int)], [np.zeros(0, int)]
-        at = np.flatnonzero((members[bucket] > 1) & (members[bucket] <= SMALL))
-        for step in range(1, SMALL):
-            at = at[at + step < len(sigs)]
-            at = at[bucket[at] == bucket[at + step]]
-            if not len(at):
-                break
-            hit = at[_near(mark[at], n[at], mark[at + step], n[at + step], percent)]
-            lows.append(hit)
-            highs.append(hit + step)
-        low, high = np.concatenate(lows), np.concatenate(highs)
-        np.minimum.at(parent, high, low)
-        while True:
-            least = root.copy()
-            np.minimum.at(least, high, root[low])
-            np.minimum.at(least, low, root[high])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
-        parent = np.where(parent == np.arange(len(sigs)), root, parent)
-        for k in np.flatnonzero(members > SMALL):
-            i, j = first[k], first[k] + members[k]
-            if members[k] > LARGE:
-                root[i:j] = parent[i:j] = i
-            else:
-                own = _connect(mark[i:j], n[i:j], percent)
-                root[i:j], parent[i:j] = own[0] + i, own[1] + i
-        x = np.flatnonzero(root != np.arange(len(sigs)))
-        rows = np.unique(np.stack([contents[root[x]], contents[x], contents[parent[x]]], axis=1), axis=0)
-        return pa.table({"g": rows[:, 0], "x": rows[:, 1], "p": rows[:, 2]})
-
-    return run
-
-
-def _bits(contents: DataFrame, column: str):
-    """A table of fixed size in which ``column``'s values have their bits set; what else it takes for them costs time alone."""
-    used = np.zeros(CELLS, bool)
-    used[contents.select(F.pmod(column, F.lit(CELLS)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy()] = True
-    return contents.sparkSession.sparkContext.broadcast(np.packbits(used))
-
-
-def _in_bits(bits: np.ndarray, contents: np.ndarray) -> np.ndarray:
-    return bits[np.mod(contents.view(np.int64), CELLS)]
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """content, set: the shingle sets of the contents in ``wanted`` (column content), and of others that share their bits."""
-    shared = _bits(wanted, "content")
-
-    def sets(batches):
-        bits, seen = np.unpackbits(shared.value).astype(bool), set()
-        for _, h, starts, sizes, c in _each(batches):
-            hit = _in_bits(bits, c)
-            out = {int(x): h[s : s + n] for x, s, n in zip(c[hit].view(np.int64), starts[hit], sizes[hit], strict=True) if int(x) not in seen}
-            if out:
-                if len(seen) < 1_000_000:
-                    seen.update(out)
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.unique(s).tobytes() for s in out.values()], pa.binary())], names=["content", "set"])
+        bits = shared.value
+        for ids, w, h, at, _, begin, end in _read(batches, False, True):
+            c = contents(w, begin, end)[0]
+            hit = np.flatnonzero(_in_bits(bits, c ^ ids))
+            if len(hit):
+                sets = [packed(np.unique(h[at[i] : at[i] + end[i] - begin[i] - K + 1])) for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(sets, pa.binary())], names=["content", "set"])
 
-    return docs.mapInArrow(sets, "content long, set binary").join(wanted.distinct(), "content", "left_semi").groupBy("content").agg(F.first("set").alias("set"))
+    return docs.mapInArrow(run, "content long, set binary").join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("set").alias("set"))
 
 
-def _links(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs of contents (a, b) of ``groups`` (x with p) whose shingle sets are similar."""
-    pairs = groups.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-    made = checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content"))))
-    both = pairs.join(made.withColumnsRenamed({"content": "a", "set": "x"}), "a").join(made.withColumnsRenamed({"content": "b", "set": "y"}), "b")
+def _verified(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    both = pairs.join(made.withColumnsRenamed({"content": "b", "set": "y"}), "b").join(made.withColumnsRenamed({"content": "a", "set": "x"}), "a")
 
     def check(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                x, y = unpacked(x), unpacked(y)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _across(percent: int):
-    """Links (a, b) that unite the components of one block's members (x, c, set); links inside what is united already are left out."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, comp = table.column("x").to_numpy(), table.column("c").to_numpy()
-        names, comp, count = np.unique(comp, return_inverse=True, return_counts=True)
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        united = np.arange(len(names))  # of each component
-        a, b = [], []
-        for i in np.flatnonzero(comp != count.argmax()):  # every pair across has a member outside the largest
-            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            both = np.bincount(np.concatenate([row[p:q] for p, q in zip(low, high, strict=True)]), minlength=len(sets))
-            hits = np.flatnonzero(100 * both >= percent * (size + size[i] - both))
-            for c in np.unique(united[comp[hits]]):
-                own = united[comp[i]]
-                if c != own:
-                    a.append(node[i])
-                    b.append(node[hits[united[comp[hits]] == c][0]])
-                    united[united == c] = own
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _rest(docs: DataFrame, groups: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a group that ``edges`` leave in different components. Groups are dealt in pairs of blocks."""
-    known = components(edges)
-    members = groups.select("g", "x").unionByName(groups.select("g", F.col("g").alias("x"))).distinct()
-    labelled = members.join(known, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("c"))
-    open_ = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("g", "n")
-    group = checkpointed(labelled.join(open_, "g"))
-    blocks = F.ceil(F.col("n") / GROUP).cast("int")
-    dealt = group.withColumn("own", F.pmod(F.xxhash64("x"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "c")
-    sets = _sets(docs, group.select(F.col("x").alias("content")))
-    dealt = dealt.join(sets, F.col("x") == F.col("content")).select("g", "i", "j", "x", "c", "set")
-    return dealt.groupBy("g", "i", "j").applyInArrow(_across(percent), "a long, b long")
+def links(docs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links that connect all contents of ``lines`` that similar pairs in a common bucket connect."""
+    values = lines.select("content", F.explode(F.array(*[f"s{b}" for b in range(BANDS)])).alias("v"))
+    centres = values.groupBy("v").agg(F.min("content").alias("g"), F.max("content").alias("last")).where("g <> last").select("v", "g")
+    groups = checkpointed(values.join(centres, "v").where("content <> g").select("g", F.col("content").alias("x")).distinct())
+    marks = [f"m{j}" for j in range(SKETCH)]
+    x, g = (lines.select(F.col("content").alias(s), F.col("n").alias(f"{s}_n"), *[F.col(m).alias(f"{s}_{m}") for m in marks]) for s in ("x", "g"))
+    apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"g_{m}"))) for m in marks), F.lit(0))
+    near = (F.least("x_n", "g_n") * 100 >= F.greatest("x_n", "g_n") * percent) & (apart * (100 + percent) <= (100 - percent) * (F.col("x_n") + F.col("g_n")))
+    groups = checkpointed(groups.join(x, "x").join(g, "g").select("g", "x", near.alias("near")))
+    more = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    star = groups.where("near").select(F.col("g").alias("a"), F.col("x").alias("b"))
+    members = star.unionByName(groups.join(more, "g").select(F.col("g").alias("a"), F.col("x").alias("b")))
+    wanted = members.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(lines.select("content", "low"), "content")
+    made = checkpointed(_sets(docs, checkpointed(wanted), size))
+    edges = checkpointed(_verified(star, made, percent))
+    members = groups.select("g", "x").unionByName(groups.select("g", F.col("g").alias("x")).distinct())
+    return edges.unionByName(rest(members, edges, lambda _: made.withColumnRenamed("content", "x"), percent, GROUP))
 
 
 def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``id``, start_word, n_words, kept_in (the least id that holds a paragraph like it), removed (whether this copy goes).
 
-    One row for each paragraph (winnowed windows of 30 words; lines and blocks between blank lines of 30
-    words or more) that another document has too, equal or with a Jaccard similarity of ``percent``
-    hundredths or more over five-word shingles. Ids are whole numbers; rows of
-    one id are one document, whose own repeats do not count; rows without an id, null and short texts
-    (under 30 words) have no paragraphs. Ties of equal contents go to the least id. An empty table
-    gives an empty result; other columns are ignored, whatever their names.
+    One row for each paragraph (winnowed windows of 28 words; lines and blocks between blank lines of 30
+    words or more) that another document has too, equal or, for lines and blocks, with a Jaccard similarity
+    of ``percent`` hundredths or more over five-word shingles. Ids are whole numbers; rows of one id are one
+    document, whose own repeats do not count; rows without an id, null and short texts (under 28 words)
+    have no paragraphs. Equal contents are one paragraph (their words' hashes of 64 and 31 bits are); ties
+    go to the least id. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size * BANDS // (70 * TARGET)))  # a paragraph begins every 70 bytes or so
-    blobs = own.mapInArrow(_blobs(parts), "part long, sigs binary, contents binary, sketches binary, sizes binary")
-    groups = checkpointed(blobs.groupBy("part").applyInArrow(_candidates(percent), "g long, x long, p long").distinct())
-    edges = checkpointed(_links(own, groups, percent))
-    known = components(edges.unionByName(_rest(own, groups, edges, percent)))
-    where = own.mapInArrow(_found, "content long, id long").groupBy("content").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    where = where.join(known, F.col("content") == F.col("node"), "left").where("component is not null or low <> high")
-    where = checkpointed(where.select("content", F.coalesce("component", "content").alias("cluster"), "low", "high"))
+    types = {"d": "int", "n": "int"}
+    lines = own.mapInArrow(_lines, ", ".join(f"{c} {types.get(c, 'long')}" for c in _UNITS)).groupBy("content", "d")
+    lines = checkpointed(lines.agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.first(c).alias(c) for c in _UNITS[3:]]))
+    known = components(links(own, lines, size, percent))
+    where = lines.select("content", "d", "low", "high").join(known, F.col("content") == F.col("node"), "left").where("component is not null or low <> high")
+    where = checkpointed(where.select("content", "d", F.coalesce("component", "content").alias("cluster"), "low", "high"))
     clusters = where.groupBy("cluster").agg(F.min("low").alias("kept_in"), F.max("high").alias("last")).where("kept_in <> last").select("cluster", "kept_in")
-    wanted = checkpointed(where.join(clusters, "cluster").select("content", "kept_in"))
-    shared = _bits(wanted, "content")
+    found = checkpointed(where.join(clusters, "cluster").select("content", "d", "kept_in"))
+    pairs = own.mapInArrow(_windows, "content long, id long").groupBy("content").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    shared = _bits(pairs.select("content").unionByName(found.select("content")), size)
 
     def places(batches):
-        bits = np.unpackbits(shared.value).astype(bool)
-        for id, _, starts, sizes, c in _each(batches):
+        bits = shared.value
+        for ids, w, _, _, at, begin, end in _read(batches, True, True):
+            c, d = contents(w, begin, end)
             hit = _in_bits(bits, c)
             if hit.any():
-                n = int(hit.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, id, np.int64)), pa.array(starts[hit]), pa.array(sizes[hit] + K - 1), pa.array(c[hit].view(np.int64))], names=["id", "start", "n", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(d[hit]), pa.array(ids[hit]), pa.array(at[hit]), pa.array((end - begin)[hit])], names=["content", "d", "id", "start", "n"])
 
-    rows = own.mapInArrow(places, "id long, start long, n long, content long")
-    rows = rows.join(F.broadcast(wanted) if few(wanted) else wanted, "content")
+    rows = checkpointed(own.mapInArrow(places, "content long, d int, id long, start long, n long"))
+    windows = rows.where(F.col("n") == RUN)
+    equal = windows.groupBy("content", "d").agg(F.min("id").alias("kept_in"), F.max("id").alias("last")).where("kept_in <> last").drop("last")
+    rows = windows.join(equal, ["content", "d"]).unionByName(rows.where(F.col("n") > RUN).join(found, ["content", "d"]))
     return rows.select(F.col("id").alias(id), F.col("start").alias("start_word"), F.col("n").alias("n_words"), "kept_in", (F.col("id") != F.col("kept_in")).alias("removed"))
 
 
 def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``id``, n_paragraphs, repeated_words, removed_words, spans (start, end in words, removed), kept_in: a row for each document with repeated paragraphs.
 
-    Overlapping paragraphs count their words once; kept_in lists the documents that keep the copies.
+    Overlapping paragraphs count their words once; kept_in lists the documents that keep the copies. What
+    null ids and texts, ties, repeated rows and empty tables give is stated at ``repeated_paragraphs``:
+    documents without repeated paragraphs have no row.
     """
     rows = repeated_paragraphs(docs, id=id, text=text, percent=percent)
-    rows = rows.select(F.col(id).alias("id"), F.struct(F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("end"), "removed").alias("span"), "kept_in", "removed").distinct()
-
-    def covered(spans):
-        step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["last"]))).alias("n"), F.greatest(x["end"], a["last"]).alias("last"))
-        return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last")), step, lambda a: a["n"])
-
-    out = rows.groupBy("id").agg(F.count_distinct("span.start", "span.end").alias("n_paragraphs"), F.collect_list("span").alias("spans"), F.collect_list(F.when(F.col("removed"), F.col("span"))).alias("gone"), F.collect_set("kept_in").alias("kept_in"))
-    return out.select(F.col("id").alias(id), "n_paragraphs", covered(F.col("spans")).alias("repeated_words"), covered(F.col("gone")).alias("removed_words"), F.array_sort("spans").alias("spans"), F.array_sort("kept_in").alias("kept_in"))
+    rows = rows.groupBy(F.col(id).alias("id"), F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("end")).agg(F.min("kept_in").alias("kept_in"))
+    rows = rows.withColumn("removed", F.col("id") != F.col("kept_in"))
+    line = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)  # of one document
+    rows = rows.withColumns({"last": F.max("end").over(line), "gone": F.max(F.when(F.col("removed"), F.col("end"))).over(line)})
+    new = lambda last: F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(last, F.lit(0))))
+    out = rows.groupBy("id").agg(
+        F.count("*").alias("n_paragraphs"),
+        F.sum(new("last")).alias("repeated_words"),
+        F.sum(F.when(F.col("removed"), new("gone")).otherwise(0)).alias("removed_words"),
+        F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("spans"),
+        F.sort_array(F.collect_set("kept_in")).alias("kept_in"),
+    )
+    return out.withColumnRenamed("id", id)
