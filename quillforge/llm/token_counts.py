@@ -3,8 +3,13 @@
 Texts are cut into pre-tokens (a run of word marks and what follows it, or a line break), which no
 piece of the model crosses. Unseen pre-tokens of a batch become one ragged numpy array: symbols of
 all sequences end to end. In each round every unfinished sequence applies its lowest-rank pair, the
-leftmost where ranks tie, all sequences at once; what survives is counted. Sequences too long for
-whole-array rounds go through a heap, which makes the same merges in the same order.
+leftmost where ranks tie, all sequences at once; what survives is counted.
+
+Rounds over the whole array would cost the square of a long sequence. The long ones of a batch keep their
+symbols in place, linked by arrays of neighbours, and a worklist of pairs by rank: a round takes the lowest
+rank left in any of them and merges its pairs in all of them at once, in each from the left up to the first
+merge that makes a pair of no higher rank, which is next then. So each sequence makes the same merges in the
+same order.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import types as T
 from quillforge.llm._common import field, rows_of
 
 MARK = "▁"
-LONG = 192  # symbols; beyond, rounds over the array would cost the square of the length
+LONG = 192  # symbols; longer sequences' rounds go by the worklist
 CACHE = 300_000  # pre-tokens that a worker remembers
 SLICE = 1 << 21  # bytes of text handled at a time
 NONE = np.iinfo(np.int32).max
@@ -60,7 +65,6 @@ class PieceCounter:
                     pairs[a * self.width + b] = i
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
-        self.pairs = pairs
         self.cache: dict[str, int] = {}
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +83,11 @@ class PieceCounter:
     def survivors(self, words: list[str]) -> np.ndarray:
         """Symbols left of each pre-token when no pair can be merged any more."""
         out = np.zeros(len(words), np.int64)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i in range(len(words)):
-            if len(words[i]) > LONG:
-                out[i] = self._long(words[i])
+        short, long = [], []
+        for i, w in enumerate(words):
+            (short if len(w) <= LONG else long).append(i)
+        if long:
+            out[long] = self._by_rank([words[i] for i in long])
         if not short:
             return out
         codes = np.frombuffer("".join([words[i] for i in short]).encode("utf-32-le"), np.uint32)
@@ -118,33 +123,77 @@ class PieceCounter:
             rank[touched[~same]] = NONE
             touched = touched[same]
             rank[touched], piece[touched] = self._pair(ids[touched], ids[touched + 1])
-        result = done
-        out[short] = result
+        out[short] = done
         return out
 
-    def _long(self, word: str) -> int:
-        """The same merges over one long pre-token, lowest rank first and leftmost of equals, by a heap."""
-        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-        first = self.chars[codes]
-        total = int(self._weights(codes, first).sum())
-        ids, n, width, rank, pairs = first.tolist(), len(first), self.width, self.rank, self.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(rank[p]), i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := pairs.get(ids[i] * width + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+    def _by_rank(self, words: list[str]) -> np.ndarray:
+        """Symbols left of long pre-tokens: rounds by rank over the pairs that have it."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        lens = np.array([len(w) for w in words], np.int64)
+        seq = np.repeat(np.arange(len(words)), lens)
+        ids = self.chars[codes]
+        left = np.bincount(seq, self._weights(codes, ids), len(words)).astype(np.int64)
+        after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        last = np.cumsum(lens) - 1
+        after[last], before[last + 1 - lens] = -1, -1
+        work: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def add(at):
+            """Note the pairs that begin at these places, which have a neighbour after them."""
+            rank, _ = self._pair(ids[at], ids[after[at]])
+            hit = rank != NONE
+            order = np.argsort(rank[hit], kind="stable")
+            at, rank = at[hit][order], rank[hit][order]
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(rank)) + 1) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in work:
+                    heapq.heappush(ranks, r)
+                work.setdefault(r, []).append(at[part])
+
+        add(np.flatnonzero(after >= 0))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(work.pop(r)))
+            at = at[(ids[at] >= 0) & (after[at] >= 0)]
+            rank, piece = self._pair(ids[at], ids[after[at]])
+            at, piece = at[rank == r], piece[rank == r]
+            if not len(at):
                 continue
-            ids[i], ids[j] = pairs[a * width + b], -1
-            total -= 1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := pairs.get(ids[x] * width + ids[y])) is not None:
-                    heapq.heappush(heap, (int(rank[p]), x, ids[x], ids[y]))
-        return total
+            # of pairs that overlap, the first, third, ... of each run
+            new = np.r_[True, at[1:] != after[at[:-1]]]
+            place = np.arange(len(at))
+            odd = (place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 1
+            every, at, piece = at, at[~odd], piece[~odd]
+            gone, left_at = after[at], before[at]
+            beyond = after[gone]
+            # what a merge stands beside: on the left perhaps a piece of this round, on the right what is there yet
+            left_id = np.where(left_at >= 0, ids[left_at], self.width - 1)
+            if len(at) > 1:
+                beside = np.flatnonzero(left_at[1:] == gone[:-1]) + 1
+                left_id[beside] = piece[beside - 1]
+            right_id = np.where(beyond >= 0, ids[beyond], self.width - 1)
+            next_ = np.minimum(self._pair(left_id, piece)[0], self._pair(piece, right_id)[0]) <= r
+            if next_.any():
+                stop = np.flatnonzero(next_)
+                _, first = np.unique(seq[at[stop]], return_index=True)
+                bar = np.full(len(words), len(ids), np.int64)
+                bar[seq[at[stop[first]]]] = at[stop[first]]
+                later = every[every > bar[seq[every]]]
+                if len(later):
+                    heapq.heappush(ranks, r)
+                    work[r] = [later]
+                stay = at <= bar[seq[at]]
+                at, piece, gone = at[stay], piece[stay], gone[stay]
+            left -= np.bincount(seq[at], minlength=len(words))
+            ids[at], ids[gone] = piece, -1
+            after[at] = after[gone]
+            beyond = after[at]
+            before[beyond[beyond >= 0]] = at[beyond >= 0]
+            touched = np.unique(np.concatenate([at, before[at]]))
+            touched = touched[touched >= 0]
+            add(touched[after[touched] >= 0])
+        return left
 
     def _segments(self, text: str):
         text = MARK + text.replace(" ", MARK)
