@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K = 3
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -49,7 +50,7 @@ def template_windows(spark, k: int = K) -> DataFrame:
 def license_scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shift: int = SHIFT, cover: int = COVER) -> DataFrame:
     """``id``, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (start, end, label, cover of each verified span).
 
-    One row per input row. n_base counts all places of the phrases, first_word and last_word are the
+    One row per input row. A-Z alone are lower-cased. n_base counts all places of the phrases, first_word and last_word are the
     least and largest of their starts (null without one), score is the best cover of a template or
     phrase, 0 to 1. Null and empty texts have no words; rows of one id and text fare alike, null ids
     too; other columns are ignored, whatever their names. Windows that no template holds drop out
@@ -59,7 +60,7 @@ def license_scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shi
     grams = template_windows(spark).withColumn("h", F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(K)]))
     known = [r[0] for r in grams.select("h").distinct().collect()]  # of the fixed table above
     own = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.select("id", F.xxhash64("text").alias("t"), F.array_remove(F.split(F.lower("text"), WORD_GAP), "").alias("w"))
+    own = own.select("id", F.xxhash64("text").alias("t"), F.array_remove(F.split(F.translate("text", UPPER, UPPER.lower()), WORD_GAP), "").alias("w"))
     w = F.col("w")
     windows = F.when(F.size(w) >= K, F.filter(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]).isin(known)))
     own = own.select("id", "t", F.size("w").cast("long").alias("n_words"), F.transform(windows, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, K), " ").alias("gram"))).alias("hits"))
@@ -99,7 +100,7 @@ def oracle() -> str:
     values = ", ".join(f"('{b}', string_split('{p}', ' '), true, {k})" for k, (p, b) in enumerate(PHRASES.items()))
     values += ", " + ", ".join(f"('{b}', string_split('{t}', ' '), false, {k + len(PHRASES)})" for k, (b, t) in enumerate(TEMPLATES))
     return rf"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{WORD_GAP}'), lambda x: x <> '') AS w FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD_GAP}'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT label, words, base, tid, unnest(range(1, len(words) - 1)) AS tpos FROM (VALUES {values}) v(label, words, base, tid)),
 g AS (SELECT *, words[tpos] || ' ' || words[tpos + 1] || ' ' || words[tpos + 2] AS gram, len(words) - 2 AS size FROM t),
 p AS (SELECT doc_id, pos, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS pos FROM w)),

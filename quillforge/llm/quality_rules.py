@@ -57,7 +57,13 @@ def _repeated_words(words, n, mask):
     packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
 
     def twins(s):
-        same = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(mask)) == 0, F.lit(False))
+        def same(x, y):
+            p, q = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
+            alike = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(mask)) == 0
+            for j in range(3):
+                alike = alike & (F.get(words, p + j) == F.get(words, q + j))
+            return F.coalesce(alike, F.lit(False))
+
         return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
 
     at = F.transform(let(F.sort_array(packed), twins), lambda x: x.bitwiseAND(mask))
@@ -70,8 +76,8 @@ def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", ru
 
     One row per input row, no shuffle. A null or empty text has no words, so base_failed is true; a
     null id is carried through; repeated rows are judged each; other columns are ignored, whatever
-    their names. Windows are compared by a hash of 64 bits less the bits of the longest position
-    (15 for 20,000 words), so a text of n words errs with probability about n**3 / 2**64.
+    their names. Windows are sorted by a hash of 64 bits less the bits of the longest position (15 for
+    20,000 words), and neighbours of one hash are compared word by word.
     """
     stops = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
     whole = F.coalesce(F.col(text), F.lit(""))
