@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -52,3 +53,10 @@ FEW = 200_000
 
 def few(df: DataFrame, most: int = FEW) -> bool:
     return df.limit(most + 1).count() <= most
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder: smaller than a checkpoint, and read by the columns that are used."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
