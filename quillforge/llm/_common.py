@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.storage import checkpointed, few, release, remove, shared_folder
+from quillforge.storage import checkpointed, few, release, remove, shared_folder, stored
 
-__all__ = ["SPACE", "checkpointed", "few", "field", "fresh", "let", "pieces", "raw_utf8", "release", "remove", "rows_of", "shared_folder", "without"]
+__all__ = ["SPACE", "checkpointed", "few", "field", "fresh", "let", "pieces", "raw_utf8", "release", "remove", "rows_of", "shared_folder", "stored", "without"]
 #: C-locale white space: what separates words in every operator here.
 SPACE = r"\x20\x09-\x0D"
 

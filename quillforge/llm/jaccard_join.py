@@ -317,7 +317,8 @@ def _rest(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent:
 
     Groups are dealt in blocks of some ``GROUP`` members, so no task holds more sets than two blocks.
     """
-    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("x")).unionByName(pairs.select(F.col("a").alias("g"), F.col("a").alias("x")).distinct())
+    more = pairs.join(pairs.groupBy("a").count().where("count > 1").select("a"), "a")
+    members = more.select(F.col("a").alias("g"), F.col("b").alias("x")).unionByName(more.select(F.col("a").alias("g"), F.col("a").alias("x")).distinct())
     return rest(members, edges, lambda ids: _sets_of(ids.toDF("id"), docs, k).withColumnRenamed("id", "x"), percent, GROUP)
 
 

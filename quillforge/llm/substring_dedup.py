@@ -2,12 +2,13 @@
 
 Paragraphs are of two kinds:
 
-* Lines, and blocks between blank lines, of 30 words or more. MinHash over their five-word shingles is
-  banded (5 bands of 2: 99 % of pairs at a similarity of 0.8). Of each bucket the least member, its centre,
+* Lines of 30 words or more, and what shorter lines between such lines or blank lines make together, if it has 30 words:
+  so hard-wrapped text is cut at blank lines, and no word is in two of them. MinHash over their five-word
+  shingles is banded (5 bands of 2: 99 % of pairs at a similarity of 0.8). Of each bucket the least member, its centre,
   is paired with the others; 256-bit parity sketches, which bound the similarity from above, drop pairs, and
-  exact Jaccard similarity decides. Where a centre's group is left in several components, its members are
-  compared with each other too, in blocks, so no link of a bucket is lost.
-* Windows of 28 words inside them, for passages in longer lines. They begin where winnowing selects a
+  exact Jaccard similarity decides. Where a centre's group is left in several components, members of
+  different ones are compared too, in blocks, so no link of a bucket is lost.
+* Windows of 28 words, for passages in longer lines or across lines. They begin where winnowing selects a
   shingle: of any 4 starts in a row one is selected by its hash alone. Two windows of 30 words differ in at
   most two shingles if they are similar, so they hold 28 equal words in a row: windows need no bands, and
   join where all their words are equal.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.llm._common import checkpointed, raw_utf8, rows_of
+from quillforge.llm._common import checkpointed, raw_utf8, rows_of, stored
 from quillforge.llm._components import components, rest
 from quillforge.llm._shingles import SLICE, Words, mix, packed, powers, shingles, unpacked, words
 
@@ -32,6 +33,8 @@ WINNOW = 4  # starts in a row of which one is selected
 K = 5
 BANDS, ROWS = 5, 2
 SKETCH = 4  # 64-bit words of a sketch
+BYTES = 18  # of text for each window, about
+TARGET = 250_000  # windows that one task compares, about
 MOST_CELLS = 1 << 28  # bits of a table of contents: 32 MB
 GROUP = 2_500  # members of a block
 _BASES = (0xD1B54A32D192ED03, 0xAEF17502108EF2D9)
@@ -39,18 +42,20 @@ _M = (1 << 64) - 1
 
 
 def units(column: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and end of the batch's lines and blocks between blank lines that have SPAN words or more, in order."""
+    """First word and end of the batch's paragraphs that have SPAN words or more: long lines, and runs of shorter ones up to a blank line."""
     data, _ = raw_utf8(column)
     before = np.searchsorted(np.flatnonzero(data == 10), w.start)  # newlines up to each word
     breaks = np.diff(before, prepend=0)
     breaks[w.first[w.first < len(breaks)]] = 2
-    out = []
-    for least in (1, 2):
-        start = np.flatnonzero(breaks >= least)
-        out.append(np.stack([start, np.append(start[1:], len(breaks))[: len(start)]], axis=1))
-    out = np.concatenate(out)
-    out = np.unique(out[out[:, 1] - out[:, 0] >= SPAN], axis=0)
-    return out[:, 0], out[:, 1]
+    line = np.flatnonzero(breaks)
+    size = np.diff(np.append(line, len(breaks)))
+    long = size >= SPAN
+    new = long | (breaks[line] >= 2)
+    new[1:] |= long[:-1]
+    start = line[new]
+    end = np.append(start[1:], len(breaks))[: len(start)]
+    hit = end - start >= SPAN
+    return start[hit], end[hit]
 
 
 def starts(w: Words, h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -138,7 +143,7 @@ _UNITS = ["content", "d", "id", "n", *[f"s{b}" for b in range(BANDS)], *[f"m{j}"
 
 
 def _lines(batches):
-    """content, d, id, n, band values, sketch of each line and block."""
+    """content, d, id, n, band values, sketch of each line or run of lines."""
     for ids, w, h, at, _, begin, end in _read(batches, False, True):
         c, d = contents(w, begin, end)
         values = band_values(h, at, end - begin - K + 1)
@@ -146,10 +151,58 @@ def _lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(d), pa.array(ids), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in (*values.T, *mark.T)]], names=_UNITS)
 
 
-def _windows(batches):
-    """content, id of each window."""
-    for ids, w, _, _, _, begin, end in _read(batches, True, False):
-        yield pa.RecordBatch.from_arrays([pa.array(contents(w, begin, end)[0]), pa.array(ids)], names=["content", "id"])
+def _windows(parts: int):
+    """part, least, wide, values, ids: of windows, 32 bits of their contents and their documents, packed for the task that compares them.
+
+    Of a content the least and the largest document of some million windows are sent; ids stand as
+    differences from the least one, in as many bytes as these need.
+    """
+    names = ["part", "least", "wide", "values", "ids"]
+
+    def run(batches):
+        held, rows = [], 0
+
+        def flush():
+            c, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, c))
+            c, ids = c[order], ids[order]
+            new = np.r_[True, c[1:] != c[:-1]]
+            ends = np.r_[new[1:], True]
+            c, ids = c[new | ends], ids[new | ends]
+            to = (c.view(np.uint64) & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+            order = np.argsort(to, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                low = int(ids[at].min())
+                span = int(ids[at].max()) - low
+                wide = 2 if span < 1 << 16 else 4 if span < 1 << 32 else 8
+                packed_ids = (ids[at] - low).astype(f"u{wide}").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[at[0]])]), pa.array([low]), pa.array([wide], pa.int32()), pa.array([_value(c[at]).astype(np.uint32).tobytes()]), pa.array([packed_ids])], names=names)
+
+        for ids, w, _, _, _, begin, end in _read(batches, True, False):
+            held.append((contents(w, begin, end)[0], ids))
+            rows += len(ids)
+            if rows > 1_000_000:
+                yield from flush()
+                held, rows = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _value(c: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of contents, by which windows are compared first and bit tables are filled."""
+    return (c.view(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """value: those of one part that stand in two documents or more; one in some ten thousand has unequal contents."""
+    value = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint32)
+    ids = np.concatenate([np.frombuffer(i, f"u{w}").astype(np.int64) + low for i, w, low in zip(*(table.column(c).to_pylist() for c in ("ids", "wide", "least")), strict=True)])
+    order = np.argsort(value, kind="stable")
+    value, ids = value[order], ids[order]
+    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    return pa.table({"value": value[first][np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)].astype(np.int64)})
 
 
 def _bits(cells: DataFrame, size: int):
@@ -169,7 +222,7 @@ def _in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """content, set of the lines and blocks in ``wanted`` (content, low), made again from the document ``low`` that holds each."""
+    """content, set of the lines in ``wanted`` (content, low), made again from the document ``low`` that holds each."""
     shared = _bits(wanted.select(F.col("content").bitwiseXOR(F.col("low"))), size)
 
     def run(batches):
@@ -210,22 +263,40 @@ def links(docs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFra
     apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"g_{m}"))) for m in marks), F.lit(0))
     near = (F.least("x_n", "g_n") * 100 >= F.greatest("x_n", "g_n") * percent) & (apart * (100 + percent) <= (100 - percent) * (F.col("x_n") + F.col("g_n")))
     groups = checkpointed(groups.join(x, "x").join(g, "g").select("g", "x", near.alias("near")))
-    more = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     star = groups.where("near").select(F.col("g").alias("a"), F.col("x").alias("b"))
-    members = star.unionByName(groups.join(more, "g").select(F.col("g").alias("a"), F.col("x").alias("b")))
-    wanted = members.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(lines.select("content", "low"), "content")
-    made = checkpointed(_sets(docs, checkpointed(wanted), size))
-    edges = checkpointed(_verified(star, made, percent))
-    members = groups.select("g", "x").unionByName(groups.select("g", F.col("g").alias("x")).distinct())
-    return edges.unionByName(rest(members, edges, lambda _: made.withColumnRenamed("content", "x"), percent, GROUP))
+    sets = lambda contents: _sets(docs, checkpointed(contents.toDF("content").distinct().join(lines.select("content", "low"), "content")), size)
+    edges = checkpointed(_verified(star, sets(star.select(F.explode(F.array("a", "b")))), percent))
+    some = groups.groupBy("g").count().where("count > 1").select("g")
+    members = groups.join(some, "g").select("g", "x").unionByName(some.select("g", F.col("g").alias("x")))
+    marked = lines.select(F.col("content").alias("x"), "n", *marks)
+    return edges.unionByName(rest(members, edges, lambda ids: sets(ids).withColumnRenamed("content", "x"), percent, GROUP, marked, _screen(percent)))
+
+
+def _screen(percent: int):
+    """g, x: members of a task's group whose sketches allow a link across components, on either side (x, c, a, n_x, sketch)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, c, side = (table.column(k).to_numpy() for k in ("x", "c", "a"))
+        n = table.column("n_x").to_numpy().astype(np.int64)
+        mark = np.stack([table.column(f"m{j}").to_numpy() for j in range(SKETCH)], axis=1).view(np.uint64)
+        there, hit = np.flatnonzero(~side), np.zeros(len(x), bool)
+        for i in np.flatnonzero(side):
+            small, large = np.minimum(n[there], n[i]), np.maximum(n[there], n[i])
+            near = (small * 100 >= large * percent) & (c[there] != c[i])
+            near &= np.bitwise_count(mark[there] ^ mark[i]).sum(axis=1) * (100 + percent) <= (100 - percent) * (n[there] + n[i])
+            if near.any():
+                hit[i] = True
+                hit[there[near]] = True
+        return pa.table({"g": table.column("g").filter(pa.array(hit)), "x": x[hit]})
+
+    return run
 
 
 def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``id``, start_word, n_words, kept_in (the least id that holds a paragraph like it), removed (whether this copy goes).
 
-    One row for each paragraph (winnowed windows of 28 words; lines and blocks between blank lines of 30
-    words or more) that another document has too, equal or, for lines and blocks, with a Jaccard similarity
-    of ``percent`` hundredths or more over five-word shingles. Ids are whole numbers; rows of one id are one
+    One row for each paragraph (winnowed windows of 28 words; lines, and runs of shorter lines, of 30
+    words or more) that another document has too, equal or, for lines, with a Jaccard similarity of ``percent`` hundredths or more over five-word shingles. Ids are whole numbers; rows of one id are one
     document, whose own repeats do not count; rows without an id, null and short texts (under 28 words)
     have no paragraphs. Equal contents are one paragraph (their words' hashes of 64 and 31 bits are); ties
     go to the least id. An empty table gives an empty result; other columns are ignored, whatever their names.
@@ -234,24 +305,25 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     types = {"d": "int", "n": "int"}
     lines = own.mapInArrow(_lines, ", ".join(f"{c} {types.get(c, 'long')}" for c in _UNITS)).groupBy("content", "d")
-    lines = checkpointed(lines.agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.first(c).alias(c) for c in _UNITS[3:]]))
+    lines = stored(lines.agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.first(c).alias(c) for c in _UNITS[3:]]))
     known = components(links(own, lines, size, percent))
     where = lines.select("content", "d", "low", "high").join(known, F.col("content") == F.col("node"), "left").where("component is not null or low <> high")
     where = checkpointed(where.select("content", "d", F.coalesce("component", "content").alias("cluster"), "low", "high"))
     clusters = where.groupBy("cluster").agg(F.min("low").alias("kept_in"), F.max("high").alias("last")).where("kept_in <> last").select("cluster", "kept_in")
     found = checkpointed(where.join(clusters, "cluster").select("content", "d", "kept_in"))
-    pairs = own.mapInArrow(_windows, "content long, id long").groupBy("content").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    shared = _bits(pairs.select("content").unionByName(found.select("content")), size)
+    parts = max(1, size // (BYTES * TARGET))
+    again = own.mapInArrow(_windows(parts), "part long, least long, wide int, values binary, ids binary").groupBy("part").applyInArrow(_repeated, "value long")
+    shared = _bits(again.unionByName(found.select(F.shiftrightunsigned("content", 32).alias("value"))), size)
 
     def places(batches):
         bits = shared.value
         for ids, w, _, _, at, begin, end in _read(batches, True, True):
             c, d = contents(w, begin, end)
-            hit = _in_bits(bits, c)
+            hit = _in_bits(bits, _value(c))
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(d[hit]), pa.array(ids[hit]), pa.array(at[hit]), pa.array((end - begin)[hit])], names=["content", "d", "id", "start", "n"])
 
-    rows = checkpointed(own.mapInArrow(places, "content long, d int, id long, start long, n long"))
+    rows = stored(own.mapInArrow(places, "content long, d int, id long, start long, n long"))
     windows = rows.where(F.col("n") == RUN)
     equal = windows.groupBy("content", "d").agg(F.min("id").alias("kept_in"), F.max("id").alias("last")).where("kept_in <> last").drop("last")
     rows = windows.join(equal, ["content", "d"]).unionByName(rows.where(F.col("n") > RUN).join(found, ["content", "d"]))
@@ -266,7 +338,8 @@ def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     documents without repeated paragraphs have no row.
     """
     rows = repeated_paragraphs(docs, id=id, text=text, percent=percent)
-    rows = rows.groupBy(F.col(id).alias("id"), F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("end")).agg(F.min("kept_in").alias("kept_in"))
+    rows = rows.select(F.col(id).alias("id"), F.col("start_word").alias("start"), (F.col("start_word") + F.col("n_words")).alias("end"), "kept_in").repartition("id")  # for all that follows
+    rows = rows.groupBy("id", "start", "end").agg(F.min("kept_in").alias("kept_in"))
     rows = rows.withColumn("removed", F.col("id") != F.col("kept_in"))
     line = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)  # of one document
     rows = rows.withColumns({"last": F.max("end").over(line), "gone": F.max(F.when(F.col("removed"), F.col("end"))).over(line)})

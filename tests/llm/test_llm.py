@@ -141,7 +141,8 @@ def test_edited_lines_link_over_all_their_words(spark, n):
         w = prose(rng, n, 9000).split()
         for j, middle in enumerate([w[n // 2], "edited"]):
             w[n // 2] = middle
-            text = " ".join(w) if i % 2 else f"{prose(rng, 40, 9000)}\n{' '.join(w)}\n\n{prose(rng, 40, 9000)}"
+            wrapped = "\n".join(" ".join(w[k : k + 9 + j]) for k in range(0, n, 9 + j))
+            text = (" ".join(w), f"{prose(rng, 40, 9000)}\n{' '.join(w)}\n\n{prose(rng, 40, 9000)}", f"{prose(rng, 40, 9000)}\n\n{wrapped}\n\n{prose(rng, 9, 9000)}")[i % 3]
             rows.append((2 * i + j, text, None, None, 0))
     got = {r["doc_id"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(got) >= 0.9 * len(rows)
@@ -196,6 +197,16 @@ def test_buckets_connect_all_that_similar_members_connect(spark, monkeypatch, bl
     assert len(common) >= 0.97 * len(similar) > 500
 
 
+def test_paragraphs_are_long_lines_and_runs_of_short_ones():
+    n = lambda k: " ".join(["w"] * k)
+    texts = [f"{n(40)}\n{n(10)}\n{n(25)}\n\n{n(29)}\n{n(30)}\n{n(12)}", n(29), None, "", f"{n(20)}\n{n(20)}", f"\n\n{n(31)}\n \n{n(3)}"]
+    column = pa.array(texts)
+    w = _shingles.words(column)
+    begin, end = substring_dedup.units(column, w)
+    row = np.searchsorted(w.first, begin, "right") - 1
+    assert list(zip(row.tolist(), (begin - w.first[row]).tolist(), (end - begin).tolist(), strict=True)) == [(0, 0, 40), (0, 40, 35), (0, 104, 30), (4, 0, 40), (5, 0, 31)]
+
+
 @pytest.mark.parametrize(("n", "edits"), [(60, 1), (60, 2), (80, 3), (100, 5), (200, 10)])
 def test_recall_of_edited_passages_against_brute_force(spark, n, edits):
     """Two copies of a passage with edited words inside other text: those with 30 words at one place alike by 0.8 link in nine of ten cases."""
