@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,16 +119,25 @@ def stem(word: str) -> str:
 
 @pandas_udf(T.ArrayType(T.StringType()))
 def _stems(toks: pd.Series) -> pd.Series:
-    return toks.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+    there = toks.notna()
+    rows = toks[there]
+    codes, forms = pd.factorize(np.concatenate([np.zeros(0, object), *rows]))
+    stemmed = np.array([stem(t) for t in forms], object)[codes] if len(forms) else codes
+    out = pd.Series([None] * len(toks), dtype=object)
+    ends = np.cumsum([len(t) for t in rows])
+    for i, part in zip(np.flatnonzero(there), np.split(stemmed, ends[:-1]) if len(rows) else (), strict=True):
+        out.iat[i] = part
+    return out
 
 
 @pandas_udf(T.StringType())
 def stem_word(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if w is None else stem(w))
+    forms = {w: stem(w) for w in words.dropna().unique()}
+    return pd.Series([forms.get(w) for w in words], dtype=object)
 
 
 def stem_tokens(lines: DataFrame, toks: str = "toks") -> DataFrame:
-    """``lines`` with stemmed ``toks``; a worker stems each of its forms once."""
+    """``lines`` with stemmed ``toks``; a batch stems each of its forms once, and a worker remembers many."""
     return lines.withColumn(toks, _stems(F.col(toks)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_VALUES = 4_000_000  # of queries that are broadcast, 8 bytes each
+
 
 def kl(p, q):
     """Sum of p ln(p / q) over the shorter vector's length; 0 ln 0 is 0, a zero in q alone makes infinity."""
@@ -22,11 +24,13 @@ def cosine(p, q):
 def rank_by_divergence(docs: DataFrame, queries: DataFrame, *, metric: str = "kl", invert_role: bool = False, top: int = 100) -> DataFrame:
     """query, key, dist, rank of the nearest ``top`` (0: all) documents (key, v) of each query (key, v), nearest first.
 
-    Every query looks at every document; queries are the small side and are dealt to all tasks if Spark
-    finds them small enough to broadcast.
+    Every query of the stated set looks at every document, in blocks: the queries are broadcast if they have
+    ``MOST_VALUES`` values at most, else blocks of them meet blocks of documents. The best of a task's pairs
+    alone are shuffled.
     """
     d, q = docs.select("key", F.col("v").cast("array<double>").alias("v")), queries.select(F.col("key").alias("query"), F.col("v").cast("array<double>").alias("qv"))
     value = {"kl": kl(F.col("v"), F.col("qv")) if invert_role else kl(F.col("qv"), F.col("v")), "cosine": cosine(F.col("v"), F.col("qv"))}[metric]
-    pairs = d.crossJoin(q).select("query", "key", value.alias("dist"))
+    n, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
+    pairs = d.crossJoin(F.broadcast(q) if n * width <= MOST_VALUES else q).select("query", "key", value.alias("dist"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("dist", 9), "key")))
     return ranked.where(F.col("rank") <= top) if top else ranked

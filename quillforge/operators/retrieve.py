@@ -107,10 +107,12 @@ def rank_facets(index: Index, retrieved: DataFrame, method: str = "count", *, be
     if method not in ("count", "simple", "dirichlet"):
         raise ValueError(f"no such facet method: {method}")
     if method == "count" and min_support == 0:
-        # every facet is listed for every topic
+        # facets without a document are listed too: after the others, so the first few of all are enough
+        facets = index.facets.select("facet").distinct()
+        facets = facets.orderBy("facet").limit(top_facets) if top_facets else facets
         n = retrieved.join(index.facets, "docno").groupBy("topic", "facet").agg(F.count("*").alias("n"))
-        every = retrieved.select("topic").distinct().crossJoin(index.facets.select("facet").distinct())
-        listed = every.join(n, ["topic", "facet"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        none = retrieved.select("topic").distinct().crossJoin(facets).withColumn("n", F.lit(0).cast("long"))
+        listed = n.unionByName(none).groupBy("topic", "facet").agg(F.sum("n").alias("n"))
         return _top_facets(listed.withColumn("score", F.col("n").cast("double")), top_facets)
     most = retrieved.groupBy("topic").agg(F.max("score").alias("most"))
     docs = retrieved.join(most, "topic").join(index.docs.select("docno", "n_facets"), "docno").withColumn("e", F.exp(F.col("score") - F.col("most")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -404,7 +405,7 @@ def kmedoids_step(spark, sf_dir):
     return cluster.medoids(e, labels, cluster.means(e, labels, "l2"), "l2").select("k", "id", F.round("w", 5).alias("w"))
 
 
-@query()
+@query(sql.kmeans(60))
 def kmeans_clusters(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     labels, _ = cluster.kmeans(e, 8, metric="l2", seeds=_fixed_seeds(e))
@@ -475,6 +476,31 @@ def slda_word_mixture(spark, sf_dir):
     return topics.word_mixtures(_slda(spark, sf_dir), 10)
 
 
+def _given(spark, sf_dir, two: bool):
+    """A model whose topics are given: by a word's length and place, and by turn."""
+    toks = _topic_tokens(spark, sf_dir).withColumn("z", ((F.length("word") + F.col("pos")) % sql.TOPICS).cast("int"))
+    if not two:
+        return topics.Model(toks, sql.TOPICS, 50.0 / sql.TOPICS, 0.01)
+    start = topics.slda(toks, sql.TOPICS, sql.SENTENCE_TOPICS)
+    return replace(start, tokens=toks.withColumn("x", (F.col("sent").cast("long") % sql.SENTENCE_TOPICS).cast("int")))
+
+
+def _dump(f, two: bool):
+    def run(spark, sf_dir):
+        return f(_given(spark, sf_dir, two), 10).select(F.col("cluster").cast("string").alias("cluster"), F.col("item").cast("string").alias("item"), F.round("score", 9).alias("score"), "rank")
+
+    return run
+
+
+for _two, _prefix in ((False, "lda"), (True, "slda")):
+    query(sql.topic_dump(_two, "phi", "z", "word"), f"{_prefix}_given_word_cluster")(_dump(topics.word_clusters, _two))
+    query(sql.topic_dump(_two, "theta", "doc", "k"), f"{_prefix}_given_topics_of_documents")(_dump(topics.sentence_topic_clusters, _two))
+    query(sql.topic_theta(_two), f"{_prefix}_given_theta")(lambda spark, sf_dir, two=_two: topics.theta(_given(spark, sf_dir, two)).select("doc", "k", F.round("p", 9).alias("p")))
+    query(sql.topic_perplexity(_two), f"{_prefix}_given_perplexity")(lambda spark, sf_dir, two=_two: spark.createDataFrame([(topics.perplexity(_given(spark, sf_dir, two)),)], "p double").select(F.round("p", 6).alias("perplexity")))
+query(sql.topic_dump(True, "tau", "x", "z"), "slda_given_topic_cluster")(_dump(topics.topic_clusters, True))
+query(sql.topic_dump(True, "mix", "x", "word"), "slda_given_word_mixture")(_dump(topics.word_mixtures, True))
+
+
 @query()
 def cohesion(spark, sf_dir):
     m = _lda(spark, sf_dir)

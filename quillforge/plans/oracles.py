@@ -177,13 +177,14 @@ def facets(method: str, normalize: bool, support: int = 1) -> str:
         score = "CAST(count(*) AS DOUBLE)"
         body = f"SELECT topic, facet, {score} AS score, count(*) AS n FROM r JOIN fa USING (docno) GROUP BY ALL"
     elif method == "simple":
-        body = f"SELECT topic, facet, ln(sum(exp(score) / 2)){' - ln(sum(1.0::DOUBLE / 2))' if normalize else ''} AS score, count(*) AS n FROM r JOIN fa USING (docno) GROUP BY topic, facet"
+        body = f"SELECT topic, facet, ln(sum(exp(score - most) / 2)) + max(most){' - ln(sum(1.0::DOUBLE / 2))' if normalize else ''} AS score, count(*) AS n FROM rm JOIN fa USING (docno) GROUP BY topic, facet"
     else:
-        body = f"""SELECT topic, facet, ln(nom + k * all_nom){' - ln(denom + k * all_denom)' if normalize else ''} AS score, n
-FROM (SELECT topic, facet, sum(exp(score) / 22) AS nom, sum(1.0::DOUBLE / 22) AS denom, count(*) AS n FROM r JOIN fa USING (docno) GROUP BY topic, facet)
-JOIN (SELECT topic, sum(exp(score) / 22) AS all_nom, sum(1.0::DOUBLE / 22) AS all_denom FROM r GROUP BY topic) USING (topic)
+        body = f"""SELECT topic, facet, ln(nom + k * all_nom) + most{' - ln(denom + k * all_denom)' if normalize else ''} AS score, n
+FROM (SELECT topic, facet, sum(exp(score - most) / 22) AS nom, sum(1.0::DOUBLE / 22) AS denom, count(*) AS n FROM rm JOIN fa USING (docno) GROUP BY topic, facet)
+JOIN (SELECT topic, max(most) AS most, sum(exp(score - most) / 22) AS all_nom, sum(1.0::DOUBLE / 22) AS all_denom FROM rm GROUP BY topic) USING (topic)
 JOIN (SELECT facet, 20 * count(*)::DOUBLE / (SELECT count(*) FROM fa) AS k FROM fa GROUP BY facet) USING (facet)"""
-    return f"""WITH {_run()}, x AS ({body})
+    # scores of whole items are far below the least exponent of a double: sums are taken over what a topic's best is ahead
+    return f"""WITH {_run()}, rm AS (SELECT *, max(score) OVER (PARTITION BY topic) AS most FROM r), x AS ({body})
 SELECT topic, facet, round(score, 6) AS score, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, facet) AS INTEGER) AS rank FROM x WHERE n >= {support}) WHERE rank <= 100"""
 
 
@@ -239,3 +240,53 @@ WITH e AS (SELECT label, 'v' || vec_id AS item, round(embedding[1]::DOUBLE, 3) +
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, item) AS rank, dense_rank() OVER (ORDER BY label) - 1 AS c FROM e),
 f AS (SELECT c, unnest(range(1, (SELECT max(rank) FROM r WHERE c = 0) + 1)) AS rank FROM (SELECT DISTINCT c FROM r))
 SELECT c // 5 AS block, CAST(rank AS INTEGER) AS rank, string_agg(printf('%25s %.6f', coalesce(item, ''), coalesce(score, 0.0::DOUBLE)), ' ' ORDER BY c) AS line FROM f LEFT JOIN r USING (c, rank) GROUP BY 1, 2"""
+
+#: A model whose topics are given: 8 word topics by a word's length and place, 4 sentence topics by turn.
+TOPICS, SENTENCE_TOPICS = 8, 4
+
+
+def _topic_model(two: bool) -> str:
+    t, s = TOPICS, SENTENCE_TOPICS
+    alpha, beta, delta = (0.6433 / s, 0.000146 * s + 1.4528713 / t, 0.00005276 * s + 0.2156 / t) if two else (50.0 / t, 0.01, 0.0)
+    unit, topic, k = ("SELECT DISTINCT doc, sent, x FROM tok", "x", s) if two else ("SELECT doc, z FROM tok", "z", t)
+    return f"""
+tok AS MATERIALIZED (SELECT doc, sent, word, (length(word) + pos) % {t} AS z, turn % {s} AS x
+        FROM (SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS VARCHAR) AS sent, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (SELECT conv_id, turn, {words(LOW.format('text'))} AS w FROM conversations))),
+wc AS (SELECT count(DISTINCT word) + 1 AS w FROM tok),
+phi AS MATERIALIZED (SELECT z, word, (coalesce(n, 0) + {beta}::DOUBLE) / (coalesce(n_z, 0) + (SELECT w FROM wc) * {beta}::DOUBLE) AS p
+        FROM (SELECT z, word FROM (SELECT unnest(range(0, {t})) AS z) CROSS JOIN (SELECT DISTINCT word FROM tok)) LEFT JOIN (SELECT z, word, count(*) AS n FROM tok GROUP BY ALL) USING (z, word) LEFT JOIN (SELECT z, count(*) AS n_z FROM tok GROUP BY z) USING (z)),
+unit AS MATERIALIZED ({unit}),
+theta AS MATERIALIZED (SELECT doc, k, (coalesce(n, 0) + {alpha}::DOUBLE) / (n_d + {k} * {alpha}::DOUBLE) AS p
+        FROM (SELECT * FROM (SELECT doc, count(*) AS n_d FROM unit GROUP BY doc) CROSS JOIN (SELECT unnest(range(0, {k})) AS k)) LEFT JOIN (SELECT doc, {topic} AS k, count(*) AS n FROM unit GROUP BY ALL) USING (doc, k)),
+tau AS MATERIALIZED (SELECT x, z, (coalesce(n, 0) + {delta}::DOUBLE) / (coalesce(n_x, 0) + {t} * {delta}::DOUBLE) AS p
+        FROM (SELECT * FROM (SELECT unnest(range(0, {s})) AS x) CROSS JOIN (SELECT unnest(range(0, {t})) AS z)) LEFT JOIN (SELECT x, z, count(*) AS n FROM tok GROUP BY ALL) USING (x, z) LEFT JOIN (SELECT x, count(*) AS n_x FROM tok GROUP BY x) USING (x)),
+mix AS MATERIALIZED (SELECT x, word, sum(phi.p * tau.p) AS p FROM phi JOIN tau USING (z) GROUP BY x, word)"""
+
+
+def topic_dump(two: bool, table: str, by: str, item: str) -> str:
+    return f"""WITH {_topic_model(two)}
+SELECT CAST({by} AS VARCHAR) AS cluster, CAST({item} AS VARCHAR) AS item, round(p, 9) AS score, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(p, 12) DESC, {item}) AS rank FROM {table}) WHERE rank <= 10"""
+
+
+def topic_theta(two: bool) -> str:
+    return f"WITH {_topic_model(two)} SELECT doc, CAST(k AS INTEGER) AS k, round(p, 9) AS p FROM theta"
+
+
+def topic_perplexity(two: bool) -> str:
+    table, key = ("mix", "x") if two else ("phi", "z")
+    return f"""WITH {_topic_model(two)},
+pt AS (SELECT t.doc, t.word, sum(theta.p * m.p) AS p FROM (SELECT DISTINCT doc, word FROM tok) t JOIN theta USING (doc) JOIN {table} m ON m.word = t.word AND m.{key} = theta.k GROUP BY 1, 2)
+SELECT round(exp(-sum(n * ln(p)) / sum(n)), 6) AS perplexity FROM (SELECT doc, word, count(*) AS n FROM tok GROUP BY ALL) JOIN pt USING (doc, word)"""
+
+
+def kmeans(rounds: int, epsilon: float = 1e-4) -> str:
+    """Clusters from the first eight vectors when the error falls by less than ``epsilon``; a table for each of at most ``rounds`` rounds."""
+    parts = [ENTRIES, "c0 AS MATERIALIZED (SELECT CAST(row AS INTEGER) AS k, id, w FROM e WHERE row < 8)", "g0 AS (SELECT true AS go, NULL::DOUBLE AS error)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT * FROM (SELECT a.row, b.k, sqrt(sum((a.w - b.w) * (a.w - b.w))) AS dist FROM e a JOIN c{i - 1} b ON a.id = b.id WHERE (SELECT go FROM g{i - 1}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(dist, 9), k) = 1)""")
+        parts.append(f"g{i} AS MATERIALIZED (SELECT coalesce(go AND NOT coalesce(o.error - n.error >= 0 AND o.error - n.error < {epsilon}, false), false) AS go, n.error FROM g{i - 1} o, (SELECT sum(dist) AS error FROM a{i}) n)")
+        parts.append(f"m{i} AS (SELECT k, id, avg(w) AS w FROM a{i} JOIN e USING (row) GROUP BY k, id)")
+        parts.append(f"c{i} AS MATERIALIZED (SELECT * FROM m{i} UNION ALL SELECT * FROM c{i - 1} WHERE k NOT IN (SELECT k FROM a{i}))")
+    last = " UNION ALL ".join(f"SELECT row, k FROM a{i} WHERE NOT (SELECT go FROM g{i})" for i in range(1, rounds + 1))
+    return f"WITH {', '.join(parts)} {last}"

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillforge.functions.text import tokenize
+from quillforge.operators.docfreq import idf_vectors
+from quillforge.operators.retrieve import Index, retrieve
 
 
 def tokenize_stream(lines: DataFrame, **options) -> DataFrame:
@@ -40,3 +43,18 @@ def merge_stream(lines: DataFrame, *, source: str = "source", order: str = "line
         yield pd.DataFrame(out, columns=["source", "key", "begins", "toks"])
 
     return lines.groupBy(source).applyInPandasWithState(run, "source string, key string, begins boolean, toks array<string>", "current string", "append", GroupStateTimeout.NoTimeout)
+
+
+def each_batch(stream: DataFrame, transform, sink) -> DataStreamWriter:
+    """A writer that hands every micro-batch, transformed by a batch operator, to ``sink(rows, batch_id)``."""
+    return stream.writeStream.foreachBatch(lambda batch, i: sink(transform(batch), i))
+
+
+def compile_stream(lines: DataFrame, df_table: DataFrame, sink, **options) -> DataStreamWriter:
+    """idf vectors of a stream of token lines against a table of document frequencies."""
+    return each_batch(lines, lambda batch: idf_vectors(batch, df_table, **options), sink)
+
+
+def query_stream(topics: DataFrame, index: Index, sink, **options) -> DataStreamWriter:
+    """Retrieved documents of a stream of topics (topic, terms, weights); each topic stands whole in a batch."""
+    return each_batch(topics, lambda batch: retrieve(index, batch, **options), sink)

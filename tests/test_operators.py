@@ -169,6 +169,77 @@ def test_lda(spark):
     assert all(r["doc"] != "d1" or r["sent"] == "0" for r in best)
 
 
+def plain_draw(p, u):
+    """The first place at which the running sum reaches u of the whole."""
+    at, goal = 0.0, u * sum(p)
+    for k, x in enumerate(p):
+        at += x
+        if at >= goal:
+            return k
+    return len(p) - 1
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_a_sweep_equals_a_plain_one(spark, two):
+    """Counts, probabilities and draws of one sweep, token by token, with the same numbers in place of chance."""
+    m = topics.slda(corpus(spark), 3, 2, alpha=0.3, beta=0.2, delta=0.4) if two else topics.lda(corpus(spark), 3, alpha=0.3, beta=0.2)
+    m = topics.replace(m, tokens=topics.checkpointed(m.tokens))
+    rows = m.tokens.withColumns({"u": topics._unit(m.seed, 0, "doc", "sent", "pos"), "v": topics._unit(m.seed, -10, "doc", "sent")}).collect()
+    words = len({r["word"] for r in rows}) + 1
+    new, logs = {}, []
+    for i, r in enumerate(rows):
+        rest = rows[:i] + rows[i + 1 :]
+        p = []
+        for k in range(m.t):
+            by_word = sum(q["word"] == r["word"] and q["z"] == k for q in rest)
+            total = sum(q["z"] == k for q in rest)
+            same = [q for q in rest if (q["x"] == r["x"] if two else q["doc"] == r["doc"])]
+            prior = m.delta if two else m.alpha
+            share = (sum(q["z"] == k for q in same) + prior) / (len(same) + m.t * prior)
+            p.append((by_word + m.beta) / (total + words * m.beta) * share)
+        logs.append(math.log(sum(p)))
+        new[r["doc"], r["sent"], r["pos"]] = plain_draw(p, r["u"])
+    seen = []
+    after = topics.train(m, 1, report=lambda i, p: seen.append(p)).tokens.collect()
+    assert {(r["doc"], r["sent"], r["pos"]): r["z"] for r in after} == new
+    if not two:
+        assert seen == [pytest.approx(math.exp(-sum(logs) / len(logs)))]
+        return
+    sents = {}
+    for r in rows:
+        sents.setdefault((r["doc"], r["sent"]), []).append({"x": r["x"], "z": new[r["doc"], r["sent"], r["pos"]], "v": r["v"]})
+    drawn = {}
+    for key, own in sents.items():
+        others = {k: v for k, v in sents.items() if k != key}
+        logs = []
+        for k in range(m.s):
+            lp = math.log(sum(v[0]["x"] == k for (doc, _), v in others.items() if doc == key[0]) + m.alpha)
+            inside = [t["z"] for v in others.values() for t in v if t["x"] == k]
+            for n, t in enumerate(own):
+                before = sum(q["z"] == t["z"] for q in own[:n])
+                lp += math.log(inside.count(t["z"]) + m.delta + before) - math.log(len(inside) + m.t * m.delta + n)
+            logs.append(lp)
+        drawn[key] = plain_draw([math.exp(x - max(logs)) for x in logs], own[0]["v"])
+    assert {(r["doc"], r["sent"]): r["x"] for r in after} == drawn
+
+
+def test_kmeans_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.6, (40, 3)) for c in ((0, 0, 0), (2, 0, 1), (0, 3, 0))])
+    e = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(len(x)) for j in range(3)], "row long, id long, w double")
+    labels, _ = cluster.kmeans(e, 4, metric="l2", seeds=e.where("row < 4").select(F.col("row").cast("int").alias("k"), "id", "w"))
+    centre, before = x[:4].copy(), None
+    while True:
+        d = np.sqrt(((x[:, None] - centre[None]) ** 2).sum(axis=2))
+        k = d.round(9).argmin(axis=1)
+        error = d[np.arange(len(x)), k].sum()
+        if before is not None and 0 <= before - error < 1e-4:
+            break
+        before = error
+        centre = np.array([x[k == c].mean(axis=0) if (k == c).any() else centre[c] for c in range(4)])
+    assert {r["row"]: r["k"] for r in labels.collect()} == dict(enumerate(k.tolist()))
+
+
 @pytest.mark.parametrize("two", [False, True])
 def test_cohesion_folds_in_whole_documents_of_given_sentences(spark, two):
     m = topics.train(topics.slda(corpus(spark), 2, 2, alpha=0.1, beta=0.1, delta=0.1) if two else topics.lda(corpus(spark), 2, alpha=0.1), 20)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as T
-from quillforge.functions.porter import stem
+from quillforge.functions.porter import stem, stem_tokens, stem_word
 
 
 def toks(spark, text, **options):
@@ -42,6 +42,31 @@ def test_stems(word, want):
     assert stem(word) == want
 
 
+#: Words and stems of the published description of the algorithm, all of its steps.
+PUBLISHED = """
+caress caress, plastered plaster, bled bled, motoring motor, sing sing, conflated conflat, troubled troubl, sized size, hopping hop,
+tanned tan, falling fall, hissing hiss, fizzed fizz, failing fail, filing file, conditional condit, rational ration, valenci valenc,
+hesitanci hesit, digitizer digit, conformabli conform, radicalli radic, differentli differ, vileli vile, analogousli analog,
+vietnamization vietnam, predication predic, operator oper, feudalism feudal, decisiveness decis, callousness callous, formaliti formal,
+sensitiviti sensit, sensibiliti sensibl, triplicate triplic, formative form, formalize formal, electriciti electr, electrical electr,
+hopeful hope, goodness good, revival reviv, allowance allow, inference infer, airliner airlin, gyroscopic gyroscop, adjustable adjust,
+defensible defens, irritant irrit, replacement replac, adjustment adjust, dependent depend, adoption adopt, homologou homolog,
+communism commun, activate activ, angulariti angular, homologous homolog, effective effect, bowdlerize bowdler, probate probat,
+rate rate, cease ceas, controll control, roll roll, generalizations gener, oscillators oscil
+"""
+
+
+def test_published_stems(spark):
+    pairs = [p.split() for p in PUBLISHED.replace("\n", " ").strip().split(",")]
+    assert {w: stem(w) for w, _ in pairs} == dict(pairs)
+    rows = [(0, [w for w, _ in pairs]), (1, []), (2, None), (3, ["cats", "cats"])]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "i int, toks array<string>")
+    got = {r["i"]: r["toks"] for r in stem_tokens(df).collect()}
+    assert got == {0: [s for _, s in pairs], 1: [], 2: None, 3: ["cat", "cat"]}
+    words = spark.createDataFrame([("running",), (None,), ("running",)], "w string")
+    assert sorted(str(r[0]) for r in words.select(stem_word("w")).collect()) == ["None", "run", "run"]
+
+
 def test_stop_list_size():
     assert len(T.STOP_WORDS) == len(set(T.STOP_WORDS)) == 119
 
