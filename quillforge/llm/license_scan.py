@@ -3,7 +3,8 @@
 Rolling three-word hashes of a text are joined to the positions where license templates hold them.
 A hit's diagonal is its place in the text less its place in the template; hits add up by diagonal,
 neighbouring diagonals (a few words put in or left out) merge, and a span counts when the words it
-matched, compared as text, cover enough of the template.
+matched, compared as text, cover enough of the template. As its hits lie on diagonals that differ by less
+than eight, a span has the template's order, and its length but for as many words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Public license notices that the method looks for, whole or with small changes.
+LEAST = 5  # words of a template; fewer say little
+#: Sentences and whole paragraphs of public license notices that the method looks for, with small changes or without.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "released under the mit license"),
@@ -32,7 +34,16 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
 )
 SHIFT = 4  # diagonals that merge
 COVER = 80  # hundredths of a template's windows that a span must hold
@@ -40,6 +51,8 @@ COVER = 80  # hundredths of a template's windows that a span must hold
 
 def template_windows(spark, k: int = K) -> DataFrame:
     """tid, label, base, size (windows), tpos, gram of the phrases and templates: a table as long as those texts, fixed here."""
+    if short := [t for _, t in TEMPLATES if len(t.split()) < LEAST]:
+        raise ValueError(f"templates of fewer than {LEAST} words: {short}")
     rows = []
     for tid, (label, text, base) in enumerate([(b, p, True) for p, b in PHRASES.items()] + [(b, t, False) for b, t in TEMPLATES]):
         words = text.split()

@@ -568,6 +568,24 @@ def test_changed_notices_are_found(spark):
     assert (got[1]["labels"], got[1]["score"]) == ("", 0.0)
 
 
+def test_spans_have_the_order_of_their_template(spark):
+    rng = random.Random(6)
+    notice = next(t for b, t in license_scan.TEMPLATES if b == "isc").split()
+    mixed = list(notice)
+    rng.shuffle(mixed)
+    halves = notice[len(notice) // 2 :] + notice[: len(notice) // 2]
+    apart = " ".join(x for w in notice for x in (w, "and"))
+    inside = notice[:9] + ["very"] + notice[9:]
+    rows = [(0, " ".join(notice)), (1, " ".join(mixed)), (2, " ".join(halves)), (3, apart), (4, " ".join(inside)), (5, "All rights reserved."), (6, "under the MIT \u212aey license, under the MIT license")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {0: "isc", 1: "", 2: "", 3: "", 4: "isc", 5: "", 6: "mit"}
+    for i in (0, 4):
+        span = got[i]["spans"][0]
+        assert (span["start"], span["end"]) == (0, len(rows[i][1].split()))
+    assert (got[6]["n_words"], got[6]["first_word"]) == (9, 5)
+
+
 # --- pipeline
 
 
