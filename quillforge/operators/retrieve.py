@@ -84,7 +84,7 @@ def query_terms(topics: DataFrame, *, weighted: bool = False) -> DataFrame:
 
 def retrieve(index: Index, topics: DataFrame, *, mu: float = 2500.0, weighted: bool = False, simple_skewness: bool = False, top_documents: int = 1000) -> DataFrame:
     """topic, docno, score, rank by Dirichlet-smoothed query likelihood; 0 for ``top_documents`` keeps all."""
-    q = query_terms(topics, weighted=weighted)
+    q = query_terms(topics, weighted=weighted).groupBy("topic", "qlen", "term").agg(F.sum("w").alias("w"))  # a query's repeats of a term at once
     length = index.docs.agg(F.sum("doclen").alias("whole"))  # one row
     hits = q.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(length))
     part = F.col("w") * F.log(1 + F.col("tf") * F.col("whole") / (F.lit(mu) * F.col("ctf")))
