@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, few, field, rows_of, without
+from quillforge.llm._common import checkpointed, few, field, rows_of, tidied, without
 from quillforge.llm._shingles import SLICE, shingles, words
 
 CELLS = 1 << 22  # of the table of item shingles
@@ -191,7 +191,7 @@ def _held(docs: DataFrame, known: DataFrame, table, lengths: list[int], k: int,
             ids = id.take(pa.array(np.zeros(int(ok.sum()), np.int32)))
             yield pa.RecordBatch.from_arrays([ids, index.items.take(pa.array(item[ok])), pa.array(at[window][ok]), pa.array(np.full(len(ids), m + min(k, n) - 1, np.int32)), pa.array(s[ok])], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _windows(docs: DataFrame, table, lengths: list[int], k: int, percent: int, sets: bool) -> DataFrame:
@@ -203,7 +203,7 @@ def _windows(docs: DataFrame, table, lengths: list[int], k: int, percent: int, s
             out = [id.take(pa.array(np.zeros(len(at), np.int32))), pa.array(at), pa.array(np.full(len(at), n, np.int32)), pa.array(fp)]
             yield pa.RecordBatch.from_arrays([*out, *([pa.array([h[i : i + m].tobytes() for i in at], pa.binary())] if sets else [])], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _joined(docs: DataFrame, known: DataFrame, table, lengths: list[int], k: int, percent: int) -> DataFrame:

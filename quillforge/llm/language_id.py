@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, field
+from quillforge.llm._common import checkpointed, field, rows_of, tidied
 from quillforge.llm._shingles import SLICE, mix
 
 ORDERS = (1, 2, 3)
@@ -24,6 +24,7 @@ SPARE = 8  # slots of the filter for each n-gram of the language that has most
 PROBES = 3
 SAMPLE = 4_000  # documents of a language that are learned from, about; a bound of the fit, see ``learn``
 HELD = 1 << 18  # counted n-grams that a task holds before it adds equal ones up
+PART = 1 << 21  # bytes of texts taken out of a batch at a time
 GAP = re.compile(r"[\W\d_]")
 SHARE = 0.4  # a language contains an n-gram if it is at least so frequent there as where it is most frequent
 _C = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(max(ORDERS))], np.uint64)
@@ -145,7 +146,7 @@ def _counted(batches):
     def sent(rows):
         return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].view(np.int64)), pa.array(rows[2])], names=["i", "gram", "n"])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in rows_of(whole, PART)):
         lang = np.asarray(batch.column(0)).astype(np.int32)
         for owner, texts in slices(batch.column(1).to_pylist()):
             for h, row in grams(texts)[0]:
@@ -178,7 +179,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     shares = spark.createDataFrame([(k, i, min(1.0, sample / counts[k])) for i, k in enumerate(names)], "lang string, i int, share double")
     draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(4)), 11) / float(1 << 53)
     drawn = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share"))
-    counted = drawn.select("i", "text").mapInArrow(_counted, "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
+    counted = drawn.select("i", "text").mapInArrow(tidied(_counted), "i int, gram long, n long").groupBy("i", "gram").agg(F.sum("n").alias("n"))
     counted = checkpointed(counted)
     totals = counted.groupBy("i").agg(F.sum("n").alias("total"))
     per = counted.join(F.broadcast(totals), "i").withColumn("per", F.col("n") / F.col("total"))
@@ -211,11 +212,11 @@ def language_id(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole, PART, 2)):
             names, score = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], names=schema.names)
 
-    return own.select("id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(run, schema)
+    return own.select("id", held_out(F.col("id")).alias("held_out"), "text").mapInArrow(tidied(run), schema)
 
 
 def accepted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.2, sample: int = SAMPLE) -> DataFrame:
@@ -224,9 +225,9 @@ def accepted(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: s
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole, PART, at)):
             names, score = model.predict(batch.column(at).to_pylist())
             ok = [n != "und" and s >= least for n, s in zip(names, score, strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

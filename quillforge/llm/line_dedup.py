@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, few, field
+from quillforge.llm._common import checkpointed, few, field, rows_of, tidied
 
 STRIP = b" \t\n\x0b\x0c\r"
+PART = 1 << 22  # bytes of texts taken out of a batch at a time
 HOT = 4_096  # rows of a key from which it is settled by counts
 
 
@@ -29,7 +30,7 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), field(docs, "id"), T.StructField("t", T.LongType()), T.StructField("pos", T.IntegerType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole, PART, 2)):
             digests, rows, at = [], [], []
             texts = batch.column(2)
 
@@ -52,7 +53,7 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
             if rows:
                 yield flush()
 
-    return docs.select("id", "t", "text").mapInArrow(run, schema)
+    return docs.select("id", "t", "text").mapInArrow(tidied(run), schema)
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -176,7 +177,7 @@ def line_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least
     inner = ["text" if c == text else "id" if c == id else names[c] for c in order]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole, PART, inner.index("text"))):
             texts, keeps = batch.column("text").to_pylist(), batch.column("keep").to_pylist()
             out = [kept(t, k) for t, k in zip(texts, keeps, strict=True)]
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in inner]
@@ -184,7 +185,7 @@ def line_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", least
             sha = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in out])
             yield pa.RecordBatch.from_arrays([*columns, n, pc.fill_null(batch.column("n_dropped"), 0), batch.column("keep"), sha], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return both.select(*inner, "n_dropped", "keep").mapInArrow(tidied(run), schema)
 
 
 def oracle() -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.llm._common import checkpointed, raw_utf8, rows_of, stored
+from quillforge.llm._common import checkpointed, raw_utf8, rows_of, stored, tidied
 from quillforge.llm._components import components, rest
 from quillforge.llm._shingles import SLICE, Words, mix, packed, powers, shingles, unpacked, words
 
@@ -154,7 +154,7 @@ def _lines(batches):
 def _windows(parts: int):
     """part, least, wide, values, ids: of windows, 32 bits of their contents and their documents, packed for the task that compares them.
 
-    Of a content the least and the largest document of some million windows are sent; ids stand as
+    Of a content the least and the largest document of some 400,000 windows are sent; ids stand as
     differences from the least one, in as many bytes as these need.
     """
     names = ["part", "least", "wide", "values", "ids"]
@@ -181,7 +181,7 @@ def _windows(parts: int):
         for ids, w, _, _, _, begin, end in _read(batches, True, False):
             held.append((contents(w, begin, end)[0], ids))
             rows += len(ids)
-            if rows > 1_000_000:
+            if rows > 400_000:
                 yield from flush()
                 held, rows = [], 0
         if held:
@@ -234,7 +234,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = [packed(np.unique(h[at[i] : at[i] + end[i] - begin[i] - K + 1])) for i in hit]
                 yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(sets, pa.binary())], names=["content", "set"])
 
-    return docs.mapInArrow(run, "content long, set binary").join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("set").alias("set"))
+    return docs.mapInArrow(tidied(run), "content long, set binary").join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("set").alias("set"))
 
 
 def _verified(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     types = {"d": "int", "n": "int"}
-    lines = own.mapInArrow(_lines, ", ".join(f"{c} {types.get(c, 'long')}" for c in _UNITS)).groupBy("content", "d")
+    lines = own.mapInArrow(tidied(_lines), ", ".join(f"{c} {types.get(c, 'long')}" for c in _UNITS)).groupBy("content", "d")
     lines = stored(lines.agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.first(c).alias(c) for c in _UNITS[3:]]))
     known = components(links(own, lines, size, percent))
     where = lines.select("content", "d", "low", "high").join(known, F.col("content") == F.col("node"), "left").where("component is not null or low <> high")
@@ -312,7 +312,7 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     clusters = where.groupBy("cluster").agg(F.min("low").alias("kept_in"), F.max("high").alias("last")).where("kept_in <> last").select("cluster", "kept_in")
     found = checkpointed(where.join(clusters, "cluster").select("content", "d", "kept_in"))
     parts = max(1, size // (BYTES * TARGET))
-    again = own.mapInArrow(_windows(parts), "part long, least long, wide int, values binary, ids binary").groupBy("part").applyInArrow(_repeated, "value long")
+    again = own.mapInArrow(tidied(_windows(parts)), "part long, least long, wide int, values binary, ids binary").groupBy("part").applyInArrow(_repeated, "value long")
     shared = _bits(again.unionByName(found.select(F.shiftrightunsigned("content", 32).alias("value"))), size)
 
     def places(batches):
@@ -323,7 +323,7 @@ def repeated_paragraphs(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(d[hit]), pa.array(ids[hit]), pa.array(at[hit]), pa.array((end - begin)[hit])], names=["content", "d", "id", "start", "n"])
 
-    rows = stored(own.mapInArrow(places, "content long, d int, id long, start long, n long"))
+    rows = stored(own.mapInArrow(tidied(places), "content long, d int, id long, start long, n long"))
     windows = rows.where(F.col("n") == RUN)
     equal = windows.groupBy("content", "d").agg(F.min("id").alias("kept_in"), F.max("id").alias("last")).where("kept_in <> last").drop("last")
     rows = windows.join(equal, ["content", "d"]).unionByName(rows.where(F.col("n") > RUN).join(found, ["content", "d"]))
