@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm._common import checkpointed, rows_of, without
+from quillforge.llm._common import checkpointed, rows_of, tidied, without
 from quillforge.llm._components import components, dealt, rest
 from quillforge.llm._shingles import SLICE, mix, packed, shingle_sets, unpacked
 
@@ -38,6 +38,8 @@ LONE = 64  # bands of sets up to this size give each shingle a block of its own
 HELD = 1 << 25  # bits of the id filter
 MOST_IDS = 4_000_000
 GROUP = 2_500  # members of a block
+HOT = 17  # log2 of the documents from which a block value is not gathered in a task
+MOST_SEEN = 1_000_000  # sets that a task remembers
 
 
 class Bands:
@@ -75,6 +77,11 @@ class Bands:
 
 def signatures(s: np.ndarray, family: int, most: int, bands: Bands, common: np.ndarray) -> np.ndarray:
     """Block values of a set that it offers for the join: the most + 1 rarest."""
+    return ranked(s, family, most, bands, common)[0]
+
+
+def ranked(s: np.ndarray, family: int, most: int, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``signatures``, and log2 of how often the rarest shingle of each block stands in the corpus, where that stands out."""
     rarity = common[(s & np.uint64(CELLS - 1)).astype(np.int64)]
     k = bands.blocks(family)
     salt = np.uint64(family * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -89,9 +96,10 @@ def signatures(s: np.ndarray, family: int, most: int, bands: Bands, common: np.n
     else:
         sig = mix(s ^ salt)
     if len(sig) <= most:  # a small set, or one whose hashes crowd in few blocks: all of them
-        return sig
+        return sig, rarity
     key = (rarity.astype(np.uint64) << np.uint64(56)) | (sig >> np.uint64(8))
-    return sig[np.argpartition(key, most)[: most + 1]]
+    at = np.argpartition(key, most)[: most + 1]
+    return sig[at], rarity[at]
 
 
 def dense_sketch(s: np.ndarray, words: int) -> np.ndarray:
@@ -108,54 +116,95 @@ def _sets(batches, k: int):
             yield from zip(ids, shingle_sets(batch.column(1), k), strict=True)
 
 
-def _base(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """id, n, k1, k2, f, own, low: size and 128-bit hash of each row's set, its band, and its dense sketches for that band's family and the one below."""
+def _measured(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """id, n, k1, k2, f, own, low: size and 128-bit hash of each row's set, its band, and its dense sketches for that band's family and the one below.
+
+    Besides, from the same pass over the texts: for each task n shingles in cell k1 where these stand out (f -2),
+    and n block values offered of family k1 (f -3).
+    """
+    names = ["id", "n", "k1", "k2", "f", "own", "low"]
+
+    def counted(kind: int, key: np.ndarray, n: np.ndarray):
+        for i in range(0, len(key), 100_000):
+            part = key[i : i + 100_000]
+            none, nothing = pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([none, pa.array(n[i : i + 100_000]), pa.array(part), none, pa.array(np.full(len(part), kind, np.int32)), nothing, nothing], names=names)
 
     def run(batches):
+        counts, offered, total = np.zeros(CELLS, np.uint32), {}, 0
         for whole in batches:
             for batch in rows_of(whole, SLICE):
                 sets = shingle_sets(batch.column(1), k)
+                for s in sets:
+                    if len(s):
+                        np.add.at(counts, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                        total += len(s)
+                        for f, most in bands.families(len(s)):
+                            offered[f] = offered.get(f, 0) + most + 1
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 f = [bands.of(len(s)) if len(s) else -1 for s in sets]
                 own, low = ([dense_sketch(s, bands.dense(g)).tobytes() if g >= 0 else None for s, g in zip(sets, [x - d for x in f], strict=True)] for d in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(f, pa.int32()), pa.array(own, pa.binary()), pa.array(low, pa.binary())], names=["id", "n", "k1", "k2", "f", "own", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(f, pa.int32()), pa.array(own, pa.binary()), pa.array(low, pa.binary())], names=names)
+        # what stands out against an even spread; each task sends its own few
+        at = np.flatnonzero(counts >= 4 * total // CELLS + 3)
+        yield from counted(-2, at, counts[at].astype(np.int64))
+        yield from counted(-3, np.array(list(offered), np.int64), np.array(list(offered.values()), np.int64))
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, f int, own binary, low binary")
+    return docs.mapInArrow(tidied(run), "id long, n long, k1 long, k2 long, f int, own binary, low binary")
 
 
-def _frequencies(docs: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, dict[int, int]]:
+def _frequencies(measured: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     """A byte of log2 counts for each cell that stands out, and the block values of each family."""
-
-    def run(batches):
-        counts, offered, total = np.zeros(CELLS, np.uint32), {}, 0
-        for _, s in _sets(batches, k):
-            if len(s):
-                np.add.at(counts, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
-                total += len(s)
-                for f, most in bands.families(len(s)):
-                    offered[f] = offered.get(f, 0) + most + 1
-        # what stands out against an even spread; each task sends its own few
-        at = np.flatnonzero(counts >= 4 * total // CELLS + 3)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(counts[at[i : i + 100_000]].astype(np.int64))], names=["cell", "n"])
-        if offered:
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - f for f in offered], pa.int64()), pa.array(list(offered.values()), pa.int64())], names=["cell", "n"])
-
-    rows = docs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("cell < 0 or n >= 12").toArrow()
-    cell, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    rows = measured.where("f < -1").groupBy("f", "k1").agg(F.sum("n").alias("n")).where("f = -3 or n >= 12").toArrow()
+    kind, key, n = (rows.column(i).to_numpy() for i in range(3))
     common = np.zeros(CELLS, np.uint8)
-    hot = cell >= 0
-    common[cell[hot]] = np.log2(n[hot]).astype(np.uint8)
-    return common, {int(-1 - c): int(v) for c, v in zip(cell[~hot], n[~hot], strict=True)}
+    hot = kind == -2
+    common[key[hot]] = np.log2(n[hot]).astype(np.uint8)
+    return common, {int(f): int(v) for f, v in zip(key[~hot], n[~hot], strict=True)}
+
+
+def _offered(batches, k: int, bands: Bands, table: np.ndarray, hot: bool):
+    """(id, family, block values) of each set, of ``hot`` values or of the others. A task offers equal sets once."""
+    seen = set()
+    for id, s in _sets(batches, k):
+        if id is None or not len(s):
+            continue
+        digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+        if digest in seen:
+            continue
+        if len(seen) < MOST_SEEN:  # beyond, sets may go twice, which changes nothing
+            seen.add(digest)
+        for f, most in bands.families(len(s)):
+            sig, rarity = ranked(s, f, most, bands, table)
+            sig = sig[(rarity >= HOT) == hot]
+            if len(sig):
+                yield id, f, sig
 
 
-def _blobs(docs: DataFrame, k: int, bands: Bands, common, parts: dict[int, int]) -> DataFrame:
-    """part, least, wide, ids, sigs: packed block values for the task that joins them; ids stand as differences from the least. A task sends equal sets once."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _hot_candidates(docs: DataFrame, k: int, bands: Bands, shared) -> DataFrame:
+    """f, a, b as ``_candidates``, for block values that very many documents may share: no task has all of one."""
+
+    def run(batches):
+        held, n = [], 0
+        for id, f, sig in _offered(batches, k, bands, shared.value, True):
+            held.append((np.full(len(sig), f, np.int32), sig.view(np.int64), np.full(len(sig), id, np.int64)))
+            n += len(sig)
+            if n > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["f", "v", "b"])
+                held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["f", "v", "b"])
+
+    rows = checkpointed(docs.mapInArrow(tidied(run), "f int, v long, b long"))
+    centres = rows.groupBy("f", "v").agg(F.min("b").alias("a"))
+    return rows.join(centres, ["f", "v"]).where("a <> b").select("f", "a", "b")
+
+
+def _blobs(docs: DataFrame, k: int, bands: Bands, shared, parts: dict[int, int]) -> DataFrame:
+    """part, least, wide, ids, sigs: packed block values for the task that joins them, but the hot ones; ids stand as differences from the least."""
     names = ["part", "least", "wide", "ids", "sigs"]
 
     def run(batches):
-        table, seen = shared.value, set()
         out: dict[int, list] = {}
         held = 0
 
@@ -172,23 +221,15 @@ def _blobs(docs: DataFrame, k: int, bands: Bands, common, parts: dict[int, int])
                     offsets = (ids[at] - low).astype(np.int64 if wide else np.uint32)
                     yield pa.RecordBatch.from_arrays([pa.array([f << 32 | int(to[at[0]])]), pa.array([low]), pa.array([wide]), pa.array([offsets.tobytes()]), pa.array([sigs[at].astype(np.uint32).tobytes()])], names=names)
 
-        for id, s in _sets(batches, k):
-            if id is None or not len(s):
-                continue
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            for f, most in bands.families(len(s)):
-                sig = signatures(s, f, most, bands, table)
-                out.setdefault(f, []).append((id, sig))
-                held += 8 * len(sig) + 100
-            if held > 64 << 20:
+        for id, f, sig in _offered(batches, k, bands, shared.value, False):
+            out.setdefault(f, []).append((id, sig))
+            held += 8 * len(sig) + 100
+            if held > 16 << 20:
                 yield from flush()
                 out, held = {}, 0
         yield from flush()
 
-    return docs.mapInArrow(run, "part long, least long, wide boolean, ids binary, sigs binary")
+    return docs.mapInArrow(tidied(run), "part long, least long, wide boolean, ids binary, sigs binary")
 
 
 def _candidates(table: pa.Table) -> pa.Table:
@@ -290,7 +331,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             for batch in rows_of(whole, SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(s) for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
 
-    return docs.mapInArrow(sets, "id long, set binary")
+    return docs.mapInArrow(tidied(sets), "id long, set binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -322,12 +363,16 @@ def _rest(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent:
     return rest(members, edges, lambda ids: _sets_of(ids.toDF("id"), docs, k).withColumnRenamed("id", "x"), percent, GROUP)
 
 
-def links(docs: DataFrame, base: DataFrame, bands: Bands, k: int = 5, percent: int = 80) -> DataFrame:
-    """a, b: links enough to connect all that similar pairs connect. ``docs`` has id (long) and text."""
-    common, offered = _frequencies(docs, k, bands)
+def links(docs: DataFrame, measured: DataFrame, bands: Bands, k: int = 5, percent: int = 80) -> DataFrame:
+    """a, b: links enough to connect all that similar pairs connect. ``docs`` has id (long) and text, ``measured`` what ``_measured`` gives of them."""
+    common, offered = _frequencies(measured)
+    base = measured.where("f > -2")
     parts = {f: -(-n // TARGET) for f, n in offered.items()}
-    blobs = _blobs(docs, k, bands, common, parts)
-    pairs = checkpointed(blobs.groupBy("part").applyInArrow(_candidates, "f int, a long, b long").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    pairs = _blobs(docs, k, bands, shared, parts).groupBy("part").applyInArrow(_candidates, "f int, a long, b long")
+    if common.max() >= HOT:
+        pairs = pairs.unionByName(_hot_candidates(docs, k, bands, shared))
+    pairs = checkpointed(pairs.distinct())
     pairs = checkpointed(_screened(pairs, base, bands))
     sure = _verified(pairs, docs, k, percent)
     # copies: every document with the least of its set
@@ -349,9 +394,9 @@ def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k:
     """
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     bands = Bands(percent)
-    base = checkpointed(_base(own, k, bands))
-    label = components(links(own, base, bands, k, percent))
-    out = base.join(label, F.col("id") == F.col("node"), "left")
+    measured = checkpointed(_measured(own, k, bands))
+    label = components(links(own, measured, bands, k, percent))
+    out = measured.where("f > -2").join(label, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
