@@ -82,22 +82,22 @@ def across(percent: int):
 
 
 def _open(labelled: DataFrame) -> DataFrame:
-    """The members (g, x, c) of groups in several components, with counts n and s and ``alone`` for those outside the largest one."""
+    """The members (g, x, c, more) of groups in several components, with counts n and s and ``alone`` for those outside the largest one."""
     sizes = labelled.groupBy("g", "c").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("large"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("s")).where("s > 0")
-    return checkpointed(labelled.join(sizes, "g").select("g", "x", "c", "n", "s", (F.col("c") != F.col("large")).alias("alone")))
+    return checkpointed(labelled.join(sizes, "g").select(*labelled.columns, "n", "s", (F.col("c") != F.col("large")).alias("alone")))
 
 
 def rest(members: DataFrame, edges: DataFrame, sets, percent: int, most: int, marked: DataFrame | None = None, screen=None) -> DataFrame:
-    """Links between members of a group (g, x) that ``edges`` leave in different components; ``sets`` gives (x, set) for the members (x) of such groups.
+    """Links between members of a group (g, x, and what ``marked`` needs) that ``edges`` leave in different components; ``sets`` gives (x, set) for the members (x) of such groups.
 
     Of a group's components the largest is compared with the others, and these with each other. ``screen``
     leaves of a task's members, with their sketches of ``marked``, those that may have a link across.
     """
     known = components(edges)
-    labelled = checkpointed(members.join(known, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("component", "x").alias("c")))
+    labelled = checkpointed(members.join(known, F.col("x") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "x").alias("c")))
     group = _open(labelled)
     if screen is not None:
-        left = dealt(group, "x", most).join(marked.withColumnRenamed("n", "n_x"), "x").groupBy("g", "i", "j").applyInArrow(screen, "g long, x long")
+        left = dealt(group, "x", most).join(marked, [c for c in marked.columns if c in group.columns]).groupBy("g", "i", "j").applyInArrow(screen, "g long, x long")
         group = _open(labelled.join(checkpointed(left.distinct()), ["g", "x"]))
     return dealt(group, "x", most).join(sets(group.select("x")), "x").groupBy("g", "i", "j").applyInArrow(across(percent), "a long, b long")

@@ -13,9 +13,9 @@ which bounds the distance within each band of sizes. Two uses of this:
 * A dense sketch of each document drops candidates whose distance is over the bound.
 
 The rest is verified on the sets of shingle hashes. In a bucket of equal blocks everything is compared
-with one centre; what is not near the centre, with the centre's whole group by sketches; and what the
-links so far leave in different components, by a second round inside the group. No step makes all pairs
-of a group's rows: they are compared inside tasks, in blocks, and only what passes comes out.
+with one centre; what the links so far leave in different components, with the centre's whole group, by
+sketches and then by sets. No step makes all pairs of a group's rows: they are compared inside tasks, in
+blocks, and only links that unite components come out.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillforge.llm._common import checkpointed, rows_of, tidied, without
-from quillforge.llm._components import components, dealt, rest
+from quillforge.llm._components import components, rest
 from quillforge.llm._shingles import SLICE, mix, packed, shingle_sets, unpacked
 
 CELLS = 1 << 22  # counters of shingle frequencies; the broadcast table has a byte for each
@@ -257,16 +257,15 @@ def _near(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, bands: B
     return (small * 100 >= large * bands.percent) & (np.bitwise_count(x ^ y).sum(axis=-1) <= bands.most(nx, ny))
 
 
-def _screened(pairs: DataFrame, base: DataFrame, bands: Bands) -> DataFrame:
-    """a, b: candidates that the dense sketches allow.
+def _sketches(base: DataFrame) -> DataFrame:
+    """x, f, n_x, sketch of each set for its families."""
+    rows = base.where("n > 0 and id is not null").withColumnsRenamed({"id": "x", "n": "n_x"})
+    return rows.select("x", "f", "n_x", F.col("own").alias("sketch")).unionByName(rows.where("f > 0").select("x", (F.col("f") - 1).alias("f"), "n_x", F.col("low").alias("sketch"))).distinct()
 
-    Of each centre's group: the centre with what is near it; and what is not near it with all of the
-    group, as the centre says nothing about those. Large groups are dealt in blocks.
-    """
-    rows = base.where("n > 0 and id is not null")
-    sketches = rows.select("id", "n", "f", F.col("own").alias("sketch")).unionByName(rows.where("f > 0").select("id", "n", (F.col("f") - 1).alias("f"), F.col("low").alias("sketch"))).distinct()
-    x = sketches.toDF("b", "nb", "f", "sb")
-    y = sketches.toDF("a", "na", "f", "sa")
+
+def _flagged(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """f, a, b, near: candidates, and whether the dense sketches allow that they are similar."""
+    x, y = sketches.toDF("b", "f", "nb", "sb"), sketches.toDF("a", "f", "na", "sa")
 
     def flag(batches):
         for batch in batches:
@@ -279,27 +278,27 @@ def _screened(pairs: DataFrame, base: DataFrame, bands: Bands) -> DataFrame:
                 out[at] = _near(read(sa), na[at], read(sb), nb[at], bands)
             yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("a"), batch.column("b"), pa.array(out)], names=["f", "a", "b", "near"])
 
-    flagged = pairs.join(x, ["f", "b"]).join(y, ["f", "a"]).select("f", "a", "b", "na", "nb", "sa", "sb").mapInArrow(flag, "f int, a long, b long, near boolean")
-    flagged = checkpointed(flagged)
-    star = flagged.where("near").select("a", "b")
-    sizes = flagged.groupBy("f", "a").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("s")).where("s > 0 and n > 1")
-    group = flagged.join(sizes, ["f", "a"]).select("f", F.col("a").alias("g"), "b", (~F.col("near")).alias("alone"), "n", "s")
-    group = dealt(group, "b", GROUP).join(x, ["f", "b"]).select("f", "g", "i", "j", "b", "a", "nb", "sb")
-
-    def screen(table: pa.Table) -> pa.Table:
-        ids, side, n = table.column("b").to_numpy(), table.column("a").to_numpy(), table.column("nb").to_numpy()
-        s = np.frombuffer(b"".join(table.column("sb").to_pylist()), np.uint64).reshape(len(ids), -1)
-        there = np.flatnonzero(~side)
-        a, b = [], []
-        for i in np.flatnonzero(side):
-            hit = there[_near(s[there], n[there], s[i : i + 1], n[i : i + 1], bands)]
-            hit = hit[ids[hit] != ids[i]]
-            a.append(np.minimum(ids[hit], ids[i]))
-            b.append(np.maximum(ids[hit], ids[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
-
-    return star.unionByName(group.groupBy("f", "g", "i", "j").applyInArrow(screen, "a long, b long")).distinct()
+    return checkpointed(pairs.join(x, ["f", "b"]).join(y, ["f", "a"]).select("f", "a", "b", "na", "nb", "sa", "sb").mapInArrow(flag, "f int, a long, b long, near boolean"))
+
+
+def _screen(bands: Bands):
+    """g, x: members of a task's group whose sketches allow a link across components, on either side (x, c, a, f, n_x, sketch)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, c, side, f, n = (table.column(k).to_numpy() for k in ("x", "c", "a", "f", "n_x"))
+        sketch, hit = table.column("sketch").to_pylist(), np.zeros(len(x), bool)
+        for family in np.unique(f):
+            own = np.flatnonzero(f == family)
+            s = np.frombuffer(b"".join([sketch[i] for i in own]), np.uint64).reshape(len(own), -1)
+            there = np.flatnonzero(~side[own])
+            for i in np.flatnonzero(side[own]):
+                near = (c[own[there]] != c[own[i]]) & _near(s[there], n[own[there]], s[i : i + 1], n[own[i : i + 1]], bands)
+                if near.any():
+                    hit[own[i]] = True
+                    hit[own[there[near]]] = True
+        return pa.table({"g": table.column("g").filter(pa.array(hit)), "x": x[hit]})
+
+    return run
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -353,14 +352,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _rest(pairs: DataFrame, edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that the centres' comparisons leave open: between near members of one centre that are in different components so far.
+def _rest(flagged: DataFrame, sketches: DataFrame, edges: DataFrame, docs: DataFrame, bands: Bands, k: int) -> DataFrame:
+    """Links that the centres' comparisons leave open: between members of one centre's bucket that are in different components so far.
 
-    Groups are dealt in blocks of some ``GROUP`` members, so no task holds more sets than two blocks.
+    Groups are dealt in blocks of some ``GROUP`` members, first with sketches, then, of members with a
+    possible link, with sets; so no task holds more than two blocks, and no pairs come out but links.
     """
-    more = pairs.join(pairs.groupBy("a").count().where("count > 1").select("a"), "a")
-    members = more.select(F.col("a").alias("g"), F.col("b").alias("x")).unionByName(more.select(F.col("a").alias("g"), F.col("a").alias("x")).distinct())
-    return rest(members, edges, lambda ids: _sets_of(ids.toDF("id"), docs, k).withColumnRenamed("id", "x"), percent, GROUP)
+    more = flagged.join(flagged.groupBy("f", "a").count().where("count > 1").select("f", "a"), ["f", "a"]).withColumn("g", F.xxhash64("f", "a"))
+    members = more.select("g", "f", F.col("b").alias("x")).unionByName(more.select("g", "f", F.col("a").alias("x")).distinct())
+    sets = lambda ids: _sets_of(ids.toDF("id"), docs, k).withColumnRenamed("id", "x")
+    return rest(members, edges, sets, bands.percent, GROUP, sketches, _screen(bands))
 
 
 def links(docs: DataFrame, measured: DataFrame, bands: Bands, k: int = 5, percent: int = 80) -> DataFrame:
@@ -372,14 +373,14 @@ def links(docs: DataFrame, measured: DataFrame, bands: Bands, k: int = 5, percen
     pairs = _blobs(docs, k, bands, shared, parts).groupBy("part").applyInArrow(_candidates, "f int, a long, b long")
     if common.max() >= HOT:
         pairs = pairs.unionByName(_hot_candidates(docs, k, bands, shared))
-    pairs = checkpointed(pairs.distinct())
-    pairs = checkpointed(_screened(pairs, base, bands))
-    sure = _verified(pairs, docs, k, percent)
+    sketches = _sketches(base)
+    flagged = _flagged(checkpointed(pairs.distinct()), sketches, bands)
+    sure = _verified(flagged.where("near").select("a", "b").distinct(), docs, k, percent)
     # copies: every document with the least of its set
     least = base.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
     copies = base.where("n > 0").join(least, ["k1", "k2"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     edges = checkpointed(sure.unionByName(copies))
-    return edges.unionByName(_rest(pairs, edges, docs, k, percent))
+    return edges.unionByName(_rest(flagged, sketches, edges, docs, bands, k))
 
 
 def jaccard_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -268,7 +268,7 @@ def links(docs: DataFrame, lines: DataFrame, size: int, percent: int) -> DataFra
     edges = checkpointed(_verified(star, sets(star.select(F.explode(F.array("a", "b")))), percent))
     some = groups.groupBy("g").count().where("count > 1").select("g")
     members = groups.join(some, "g").select("g", "x").unionByName(some.select("g", F.col("g").alias("x")))
-    marked = lines.select(F.col("content").alias("x"), "n", *marks)
+    marked = lines.select(F.col("content").alias("x"), F.col("n").alias("n_x"), *marks)
     return edges.unionByName(rest(members, edges, lambda ids: sets(ids).withColumnRenamed("content", "x"), percent, GROUP, marked, _screen(percent)))
 
 
