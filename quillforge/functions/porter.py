@@ -122,12 +122,12 @@ def _stems(toks: pd.Series) -> pd.Series:
     there = toks.notna()
     rows = toks[there]
     codes, forms = pd.factorize(np.concatenate([np.zeros(0, object), *rows]))
-    stemmed = np.array([stem(t) for t in forms], object)[codes] if len(forms) else codes
-    out = pd.Series([None] * len(toks), dtype=object)
+    stemmed = np.array([stem(t) for t in forms], object)[codes] if len(forms) else np.zeros(0, object)
+    out = [None] * len(toks)
     ends = np.cumsum([len(t) for t in rows])
     for i, part in zip(np.flatnonzero(there), np.split(stemmed, ends[:-1]) if len(rows) else (), strict=True):
-        out.iat[i] = part
-    return out
+        out[i] = list(part)
+    return pd.Series(out, dtype=object)
 
 
 @pandas_udf(T.StringType())

@@ -258,8 +258,17 @@ def phi_theta(m: Model) -> DataFrame:
 
 
 def perplexity(m: Model) -> float:
-    """exp of minus the mean log probability of the tokens under the model's mixtures."""
-    p = m.tokens.groupBy("doc", "word").agg(F.count("*").alias("n")).join(phi_theta(m), ["doc", "word"])
+    """exp of minus the mean log probability of the tokens under the model's mixtures; only words that a document has are looked at in it."""
+    pairs = m.tokens.groupBy("doc", "word").agg(F.count("*").alias("n")).join(theta(m).withColumnRenamed("p", "a"), "doc")
+    if m.s:
+        rows = pairs.join(word_mixture(m).withColumnsRenamed({"x": "k", "p": "f"}), ["k", "word"])
+    else:
+        c, w = _counted(m), vocabulary(m)
+        n_z = c.groupBy(F.col("z").alias("k")).agg(F.count("*").alias("n_z"))  # a row per topic
+        n_zw = c.groupBy(F.col("z").alias("k"), "word").agg(F.count("*").alias("n_zw"))
+        rows = pairs.join(n_zw, ["k", "word"], "left").join(F.broadcast(n_z), "k", "left")
+        rows = rows.withColumn("f", (F.coalesce("n_zw", F.lit(0)) + m.beta) / (F.coalesce("n_z", F.lit(0)) + w * m.beta))
+    p = rows.groupBy("doc", "word", "n").agg(F.sum(F.col("a") * F.col("f")).alias("p"))
     return p.agg(F.exp(-F.sum(F.col("n") * F.log("p")) / F.sum("n"))).first()[0]
 
 

@@ -59,10 +59,11 @@ rate rate, cease ceas, controll control, roll roll, generalizations gener, oscil
 def test_published_stems(spark):
     pairs = [p.split() for p in PUBLISHED.replace("\n", " ").strip().split(",")]
     assert {w: stem(w) for w, _ in pairs} == dict(pairs)
-    rows = [(0, [w for w, _ in pairs]), (1, []), (2, None), (3, ["cats", "cats"])]
+    rows = [(0, [w for w, _ in pairs]), (1, []), (2, None), (3, ["cats", "cats"]), (4, ["cats"])]
     df = spark.createDataFrame([(i, t) for i, t in rows], "i int, toks array<string>")
     got = {r["i"]: r["toks"] for r in stem_tokens(df).collect()}
-    assert got == {0: [s for _, s in pairs], 1: [], 2: None, 3: ["cat", "cat"]}
+    assert got == {0: [s for _, s in pairs], 1: [], 2: None, 3: ["cat", "cat"], 4: ["cat"]}
+    assert stem_tokens(df.where("i = 1")).first()["toks"] == []
     words = spark.createDataFrame([("running",), (None,), ("running",)], "w string")
     assert sorted(str(r[0]) for r in words.select(stem_word("w")).collect()) == ["None", "run", "run"]
 
