@@ -276,3 +276,24 @@ def test_pretty_clusters(spark):
     got = report.pretty_clusters(rows).orderBy("block", "rank").collect()
     assert [(r["block"], r["rank"]) for r in got] == [(0, 1), (0, 2), (1, 1), (1, 2)]
     assert got[2]["line"] == "%25s %.6f" % ("w50", 1.0)
+
+
+@pytest.mark.parametrize("options", [{}, {"weighted": True}, {"simple_skewness": True}, {"top_documents": 7}, {"top_documents": 0}])
+def test_retrieval_in_blocks_equals_the_join(spark, monkeypatch, options):
+    """With equal documents, whose ties go by number, and no row for a topic's term in a document."""
+    rng = np.random.default_rng(3)
+    texts = [[f"t{i}" for i in rng.integers(0, 12, rng.integers(0, 9))] for _ in range(40)] * 3
+    i = retrieve.build_index(spark.createDataFrame(list(enumerate(texts)), "docno long, toks array<string>"))
+    t = spark.createDataFrame([("1", ["t1", "t2", "t1", "no"], [1.0, 2.0, 0.5, 1.0]), ("2", ["no"], [1.0]), ("3", ["t9"], [3.0])], "topic string, terms array<string>, weights array<double>")
+
+    def found():
+        r = retrieve.retrieve(i, t, mu=20.0, **options)
+        return r, {(x["topic"], x["docno"]): (x["rank"], pytest.approx(x["score"], abs=1e-9)) for x in r.collect()}
+
+    monkeypatch.setattr(retrieve, "CELLS", 50)
+    blocks, got = found()
+    assert "MapInArrow" in blocks._jdf.queryExecution().toString()
+    monkeypatch.setattr(retrieve, "MOST_TERMS", 0)
+    plain, want = found()
+    assert "MapInArrow" not in plain._jdf.queryExecution().toString()
+    assert got == {k: (rank, score.expected) for k, (rank, score) in want.items()}
