@@ -297,3 +297,24 @@ def test_retrieval_in_blocks_equals_the_join(spark, monkeypatch, options):
     plain, want = found()
     assert "MapInArrow" not in plain._jdf.queryExecution().toString()
     assert got == {k: (rank, score.expected) for k, (rank, score) in want.items()}
+
+
+@pytest.mark.parametrize("metric", ["kl", "inverted", "cosine"])
+def test_ranking_by_matrices_equals_the_pairs(spark, monkeypatch, metric):
+    """With copies, zeros and, for divergences, vectors of other lengths."""
+    rng = np.random.default_rng(4)
+    x = rng.dirichlet(np.ones(6), 60) * (rng.random((60, 6)) < 0.9) + np.eye(6)[np.arange(60) % 6] * 0.01
+    rows = [(i, [float(w) for w in x[i % 50][: 6 if metric == "cosine" or i % 7 else 4]]) for i in range(60)]
+    v = spark.createDataFrame(rows, "key long, v array<double>").repartition(3)
+    monkeypatch.setattr(rank, "BLOCK", 7)
+
+    def found():
+        r = rank.rank_by_divergence(v, v.where("key % 10 = 0"), metric="cosine" if metric == "cosine" else "kl", invert_role=metric == "inverted", top=5)
+        return r, sorted((q["query"], q["rank"], q["key"], q["dist"]) for q in r.collect())
+
+    blocks, got = found()
+    assert "MapInArrow" in blocks._jdf.queryExecution().toString()
+    monkeypatch.setattr(rank, "MOST_VALUES", 0)
+    _, want = found()
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-12)
