@@ -318,3 +318,14 @@ def test_ranking_by_matrices_equals_the_pairs(spark, monkeypatch, metric):
     _, want = found()
     assert [r[:3] for r in got] == [r[:3] for r in want]
     assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-12)
+
+
+def test_fits_side_by_side_equal_fits_one_by_one():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 5, (9, 4)) * (np.arange(9) < 7)[:, None]  # two words are new
+    sentence = lambda n: (lambda w: (w.astype(np.int64), counts[w]))(rng.integers(0, 9, n))
+    own, candidates, n_z = [sentence(6), sentence(3)], [sentence(n) for n in (1, 5, 8, 2)], counts.sum(axis=0).astype(float)
+    m = {"t": 4, "s": 0, "alpha": 0.4, "beta": 0.1, "delta": 0.0}
+    for head in (own, []):
+        want = [topics._fit([*head, c], n_z, None, 8, m, 5, np.random.default_rng(s)) for s, c in enumerate(candidates)]
+        assert list(topics._fit_many(head, candidates, range(4), n_z, 8, m, 5)) == pytest.approx(want, rel=1e-12)
