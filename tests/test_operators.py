@@ -329,3 +329,15 @@ def test_fits_side_by_side_equal_fits_one_by_one():
     for head in (own, []):
         want = [topics._fit([*head, c], n_z, None, 8, m, 5, np.random.default_rng(s)) for s, c in enumerate(candidates)]
         assert list(topics._fit_many(head, candidates, range(4), n_z, 8, m, 5)) == pytest.approx(want, rel=1e-12)
+
+
+def test_theta_and_perplexity_make_no_grid_of_tokens(spark):
+    m = topics.lda(corpus(spark).where("doc < 'd4'"), 3, alpha=0.3, beta=0.2)
+    m = topics.replace(m, tokens=topics.checkpointed(m.tokens))
+    assert "Join" not in topics.theta(m)._jdf.queryExecution().toString()
+    rows = m.tokens.collect()
+    words, logs = len({r["word"] for r in rows}) + 1, []
+    for r in rows:
+        of = lambda **own: sum(all(q[k] == v for k, v in own.items()) for q in rows)  # noqa: E731, B023
+        logs.append(math.log(sum((of(doc=r["doc"], z=k) + 0.3) / (of(doc=r["doc"]) + 0.9) * (of(word=r["word"], z=k) + 0.2) / (of(z=k) + words * 0.2) for k in range(3))))
+    assert topics.perplexity(m) == pytest.approx(math.exp(-sum(logs) / len(logs)))
