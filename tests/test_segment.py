@@ -106,3 +106,38 @@ def test_loop_equals_the_sequential_model(spark):
 def test_ratio_stops(spark):
     s = segment.segment(corpus(spark, "a b a b a b c d c d c d"), Options("ubt", ratio=0.8))
     assert len(s.merges) >= 1
+
+
+def test_counting_reads_token_arrays_without_sorting_pairs(spark):
+    """A pair and its follower come from one pass, and frequencies are hashed beside unsorted pairs."""
+    lines = segment.framed_lines(corpus(spark, "a b a b", "c", "b a"))
+    counted = segment.follower_counts(lines)
+    got = {(r["x"], r["y"]): r["fxy"] for r in counted.collect()}
+    assert got == {("a", "b"): 2, ("b", "a"): 2, ("b", None): 1, ("c", None): 1, ("a", None): 1}
+    assert {r["tok"]: r["f"] for r in segment.frequencies(counted).collect()} == {"a": 3, "b": 3, "c": 1}
+    plan = segment.counted_candidates(counted, Options("descent", direction=0.5))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("o", [Options("glue", iterations=7, support=2), Options("glue", iterations=6, support=1, top=2)])
+def test_layers_and_checkpoints_of_rounds_keep_the_counts(spark, o):
+    """Every round's choice equals one made from counts of the lines as they are, also past a checkpoint and where a merged word was there before."""
+    rng = random.Random(5)
+    lines = [" ".join(rng.choice(("a", "b", "c", "ab", "bc")) for _ in range(rng.randint(1, 30))) for _ in range(8)]
+    weighed = spark.createDataFrame([(x.split(), 2) for x in lines], "toks array<string>, w long")
+    s = segment.segment(weighed, o, weight="w")
+    now = segment.framed_lines(corpus(spark, *lines, *lines))
+    for i in range(1, o.iterations + 1):
+        want = segment.best(segment.candidates(now, o), o.top).collect()
+        made = [m for m in s.merges if m["iteration"] == i]
+        assert [(m["x"], m["y"], m["f_xy"]) for m in made] == [(r["x"], r["y"], r["f_xy"]) for r in want]
+        now = segment.merge_pairs(now, [(m["x"], m["y"]) for m in made])
+    text = lambda t: sorted((r[0], r[1]) for r in t.groupBy("line").sum("weight").collect())
+    assert text(s.lines) == text(now)
+
+
+def test_tokens_with_framing_characters_count_whole(spark):
+    """A token may hold the characters that frame tokens; it counts as itself until its line is merged."""
+    rows = [(["a\u0001b", "c"],), (["b", "c"],), (["b", "c"],), (["b", "c"],)]
+    s = segment.segment(spark.createDataFrame(rows, "toks array<string>"), Options("glue", iterations=1))
+    assert [(m["x"], m["y"], m["f_xy"]) for m in s.merges] == [("b", "c", 3)]

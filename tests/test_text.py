@@ -81,3 +81,13 @@ def test_renew_facet_rewrites_the_first_alone(spark):
 def test_strips(spark):
     df = spark.createDataFrame([("ab:cd",), ("ab",)], "s string")
     assert [tuple(r) for r in df.select(T.strip_after(F.col("s"), ":"), T.strip_before(F.col("s"), ":")).collect()] == [("ab", ":cd"), ("ab", "ab")]
+
+
+def test_token_pattern_is_the_plain_one_by_characters(spark):
+    """Over all characters of ASCII and some beyond, alone and inside runs, tokens are those of the classes; and the pattern has no class that Java tests one by one."""
+    plain = r"[\x00-\x7F&&[^\s\p{Punct}]]+|\p{Punct}|[^\x00-\x7F]"
+    chars = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070), 0x3000, 0x4E2D, 0xFEFF, 0xFFFD, 0x1F600)]
+    df = spark.createDataFrame([(f"a{c}b{c}{c} {c}",) for c in chars] + [("".join(chars),)], "text string")
+    got = df.select(T.tokens("text", lower=False).alias("a"), F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("b"))
+    assert got.where("a <> b").count() == 0 and got.count() == len(chars) + 1
+    assert "&&" not in T.TOKEN and "Punct" not in T.TOKEN
