@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,13 @@ def test_token_pattern_is_the_plain_one_by_characters(spark):
     got = df.select(T.tokens("text", lower=False).alias("a"), F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("b"))
     assert got.where("a <> b").count() == 0 and got.count() == len(chars) + 1
     assert "&&" not in T.TOKEN and "Punct" not in T.TOKEN
+
+
+def test_syllables_are_told_in_one_pass(spark):
+    """Words of both kinds of letters as the plain pattern has them; and long runs of l, which are of both, end at once."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for letters in ("lab", "lb", "la", "laeDR3b", "lab!", "lab\n\u0085") for _ in range(600)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert df.where(T.syllabic(F.col("w")) != F.col("w").rlike(T.SYLLABLES)).count() == 0
+    long = spark.createDataFrame([("l" * 400 + "!",), ("l" * 400,), ("la" * 200 + "b!",), ("l" * 200 + "a",)], "w string")
+    assert [r[0] for r in long.select(T.syllabic(F.col("w"))).collect()] == [False, True, False, True]
